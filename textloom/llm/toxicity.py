@@ -23,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.llm import bpe_kernel
-from textloom.llm.common import id_and_text, map_text_blocks
+from textloom.llm.common import blocks, id_and_text, map_text_blocks
 
 BITS = 18
 #: Rows of each class that training reads at most, and bytes of text of each row.
@@ -166,6 +166,27 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return map_text_blocks(id_and_text(docs, id_col, text_col), kernel, "doc_id long, score double")
 
 
+def score_column(model: Model, text: Column) -> Column:
+    """The score of a text column, beside whatever else a row has."""
+    weights, bias = model.weights, model.bias
+
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        for _, block in blocks(batch, "text"):
+            bags = Bags([t or "" for t in block.column("text").to_pylist()])
+            out.append(np.clip(noisy_or(bags.logits(Model(weights, bias)), bags.sentence_doc, block.num_rows), 0.0, 1.0))
+        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+
+    return run(text)
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs whose text scores below threshold, with all their columns."""
+    return docs.where(score_column(model, F.col("text")) < threshold)
+
+
 def locate(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """doc_id, start, end (code points), score, sentence of every sentence whose own score reaches threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
