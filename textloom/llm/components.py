@@ -8,7 +8,7 @@ edges are pre-aggregated before the shuffle and joined with AQE's skew split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from textloom.llm.common import discard, materialize
 
@@ -20,14 +20,21 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     near = _both_ways(edges)
     least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = near.groupBy("a").agg(F.min("b").alias("m"))
-    moved = near.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    # after the large star a node's smaller neighbours are the few roots near it, so they fit a window
+    m = F.min("b").over(Window.partitionBy("a"))
+    both = F.explode(F.array(F.struct(F.col("a").alias("x"), "m"), F.struct(F.col("b").alias("x"), "m"))).alias("e")
+    return edges.select("a", "b", m.alias("m")).select(both).select(F.col("e.x").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node with no other edge to a root."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    loose = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
+    return loose.agg(F.count("*")).first()[0] == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,13 +43,10 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges are ignored; no edges give no rows.
     """
     spark = edges.sparkSession
-    now, path = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    mark = None
-    while True:
-        row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if (row["n"], row["s"]) == mark or not row["n"]:
-            return now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
-        mark = (row["n"], row["s"])
+    oriented = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now, path = materialize(oriented, "edges")
+    while not _settled(now):
         after, new = materialize(_small_star(_large_star(now)), "edges")
         discard(spark, path)
         now, path = after, new
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -157,6 +157,12 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_text_blocks(id_and_text(docs), kernel, "doc_id long, n_shingles long, k1 long, k2 long, registers binary")
 
 
+def _band_keys(bands: np.ndarray) -> np.ndarray:
+    """Bucket of each band (last axis) of the registers, taken as 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        return mix(bands * _M[2] + np.arange(1, bands.shape[-1] + 1, dtype=np.uint64) * _M[4]).view(np.int64)
+
+
 def band_rows(classes: DataFrame) -> DataFrame:
     """bucket, rep: one row for each band of each class that isn't empty."""
 
@@ -165,11 +171,10 @@ def band_rows(classes: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             bands = np.ascontiguousarray(_matrix(batch.column("registers"))).view(np.uint64)
-            with np.errstate(over="ignore"):
-                key = mix(bands * _M[2] + np.arange(1, bands.shape[1] + 1, dtype=np.uint64) * _M[4])
+            key = _band_keys(bands)
             some = bands != 0
             rep = np.broadcast_to(batch.column("rep").to_numpy()[:, None], bands.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(rep[some])], ["bucket", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(rep[some])], ["bucket", "rep"])
 
     return classes.select("rep", "registers").mapInArrow(run, "bucket long, rep long")
 
@@ -276,12 +281,16 @@ def _in_blocks(rows: DataFrame, group: str, block: int, exact: bool) -> DataFram
         reg = _matrix(part.column("registers"))
         sets = [np.frombuffer(x, np.uint64) for x in part.column("set").to_pylist()] if exact else []
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        bands = reg.view(np.uint64)
+        band = int(np.flatnonzero(_band_keys(bands[:1])[0] == np.int64(part.column("g")[0].as_py()))[0]) if not exact else 0
         found = []
         for at in range(0, len(left), 64):
             some = left[at : at + 64]
             ok = estimate_ok(reg[some][:, None, :], reg[right][None, :, :]) & (root[some][:, None] != root[right][None, :])
             if i == j:
                 ok &= rep[some][:, None] < rep[right][None, :]
+            if not exact:  # a pair is looked at in the first band that it shares, so it leaves one bucket only
+                ok &= ((bands[some][:, None, :] == bands[right][None, :, :]) & (bands[some][:, None, :] > 0)).argmax(-1) == band
             x, y = np.nonzero(ok)
             found.append((some[x], right[y]))
         x, y = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
@@ -320,7 +329,7 @@ def _in_blocks(rows: DataFrame, group: str, block: int, exact: bool) -> DataFram
         if held is not None:
             yield from compare(held)
 
-    return cut.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return cut.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -329,31 +338,30 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows, _ = materialize(signatures(docs), "signatures")
     whole = rows.where("doc_id is not null and n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"))
     classes, _ = materialize(whole, "classes")
-    one_each = classes.groupBy("rep").agg(F.min(F.struct("k1", "k2", "registers")).alias("x")).select("rep", "x.*")
     bands = band_rows(classes)
     shared, shared_path = materialize(bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").select("bucket", "pivot"), "buckets")
-    members, members_path = materialize(bands.join(shared, "bucket").distinct(), "members")
+    members, members_path = materialize(bands.join(shared, "bucket"), "members")
     discard(spark, shared_path)
 
     # each class with the smallest member it shares most bands with
     best = members.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
-    first, first_path = materialize(_likely(best.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), one_each), "pairs")
-    links = _verify(first, docs, one_each)
+    first, first_path = materialize(_likely(best.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), classes), "pairs")
+    links = _verify(first, docs, classes)
     roots = components(links)
 
     # what is still apart in some bucket: clusters of likely pairs, then all pairs of a cluster on the full sets
     open_members, open_path = materialize(_open_members(members, roots), "open")
-    likely = _in_blocks(open_members.join(one_each.select("rep", "registers"), "rep"), "bucket", BLOCK, exact=False)
+    likely = _in_blocks(open_members.join(classes.select("rep", "registers"), "rep"), "bucket", BLOCK, exact=False)
     clusters = components(likely)
-    nodes = clusters.select(F.col("root").alias("cluster"), F.col("node").alias("id")).union(clusters.select("root", "root")).distinct()
-    nodes, nodes_path = materialize(nodes, "clusters")
+    sizes = clusters.groupBy("root").agg((F.count("*") + 1).alias("n"))
+    sized = clusters.join(sizes, "root").select(F.col("root").alias("cluster"), "n", F.col("node").alias("id"))
+    nodes, nodes_path = materialize(sized.union(sizes.select("root", "n", "root")), "clusters")
     if not nodes.isEmpty():
-        sets, sets_path = _exact_sets(docs, nodes.select("id"), one_each)
-        sizes = nodes.groupBy("cluster").agg(F.count("*").alias("n"))
-        rest = nodes.join(sizes, "cluster").withColumnRenamed("id", "rep").join(one_each.select("rep", "registers"), "rep").join(sets, "rep")
+        sets, sets_path = _exact_sets(docs, nodes.select("id"), classes)
+        rest = nodes.withColumnRenamed("id", "rep").join(classes.select("rep", "registers"), "rep").join(sets, "rep")
         rest = rest.join(roots, rest["rep"] == roots["node"], "left").select("cluster", "n", "rep", F.coalesce("root", "rep").alias("root"), "registers", "set")
         more, _ = materialize(_in_blocks(rest, "cluster", 2 * BLOCK, exact=True), "links")
-        roots = components(links.union(more))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
         discard(spark, sets_path)
     discard(spark, first_path, open_path, members_path, nodes_path)
     grouped = classes.join(roots, classes["rep"] == roots["node"], "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
@@ -369,7 +377,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one_each(docs: DataFrame) -> DataFrame:
+def keep_classes(docs: DataFrame) -> DataFrame:
     """The rows of docs that stand for their group, with all their columns; rows with a null id stay, repeated rows once."""
     found = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     some = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
