@@ -26,8 +26,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     # after the large star a node's smaller neighbours are the few roots near it, so they fit a window
     m = F.min("b").over(Window.partitionBy("a"))
-    both = F.explode(F.array(F.struct(F.col("a").alias("x"), "m"), F.struct(F.col("b").alias("x"), "m"))).alias("e")
-    return edges.select("a", "b", m.alias("m")).select(both).select(F.col("e.x").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
+    # the edge to m itself moves its upper end, every other edge its lower one
+    return edges.select("a", "b", m.alias("m")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _settled(edges: DataFrame) -> bool:

@@ -23,16 +23,16 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT = 20, 30
 #: Common words of each listed language.
 COMMON = {
-    "en": "the of and to in a is that for it was on are as with be by this".split(),
-    "de": "der die das und ist von den mit zu ein eine nicht auf für im des sich auch".split(),
-    "fr": "le la les de des et un une du en est que qui dans pour pas sur au".split(),
-    "es": "el la los las de y que en un una del se con por para no es su".split(),
+    "en": "the of and to in a is that for it was on".split(),
+    "de": "der die das und ist von den mit zu ein eine nicht".split(),
+    "fr": "le la les de des et un une du en est que".split(),
+    "es": "el la los de y que en un una del se con".split(),
 }
 CLASSES = 6
 #: Word characters and words from which the divergence rules judge a document.
-MIN_CHARS_CLASS, MIN_WORDS_COMMON = 250, 80
+MIN_CHARS_CLASS, MIN_WORDS_COMMON = 300, 80
 #: Greatest distances of kept documents.
-MAX_CLASS, MAX_COMMON = 0.28, 0.29
+MAX_CLASS, MAX_COMMON = 0.28, 0.265
 
 
 def _without(c: Column, marks: str) -> Column:
