@@ -4,16 +4,245 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from textloom.functions import spans as S
+from textloom.operators import evaluate as E, protocol as P
+from textloom.operators.recognizers import RULES, detect
+from textloom.sources.tables import parquet
+
+_FORMAT = tuple(r for r in RULES if r.reason in ("format", "ip-address-format", "international-phone-format", "luhn-checksum"))
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+_EMAIL = r"[a-z0-9._+-]{1,64}@[a-z0-9-]+(?:\.[a-z0-9-]+){1,8}"
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark, sf_dir):
+    return parquet(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _spans(spark, sf_dir) -> DataFrame:
+    return detect(_docs(spark, sf_dir)).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return mask_documents(spark, sf_dir)
+
+
+@_query()
+def detect_spans(spark, sf_dir):
+    return _spans(spark, sf_dir)
+
+
+@_query()
+def mask_documents(spark, sf_dir):
+    found = detect(_docs(spark, sf_dir)).withColumn("r", S.replace_spans(F.col("text"), F.col("spans"), "mask"))
+    return found.select("doc_id", "r.masked", F.size("spans").cast("long").alias("n_spans"))
+
+
+def _round_trip(mode: str):
+    def run(spark, sf_dir):
+        found = detect(_docs(spark, sf_dir), rules=_FORMAT).withColumn("r", S.replace_spans(F.col("text"), F.col("spans"), mode, b"key", F.col("doc_id").cast("string")))
+        return found.select("doc_id", (S.restore_exact(F.col("r.masked"), F.col("r.replacements")) == F.col("text")).alias("restored"))
+
+    return run
+
+
+for _mode in ("mask", "token", "synthetic"):
+    _Q[f"round_trip_{_mode}"] = _round_trip(_mode)
+    _SQL[f"round_trip_{_mode}"] = "SELECT doc_id, true AS restored FROM documents"
+
+
+@_query(r"SELECT doc_id, regexp_replace(text, '[\p{L}\p{N}]', '*', 'g') AS masked FROM documents")
+def shape_mask(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", S.shape_mask(F.col("text")).alias("masked"))
+
+
+@_query("SELECT doc_id, length(text) / 4.0::DOUBLE AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", (F.length("text") / 4).alias("tokens"))
+
+
+@_query(rf"""SELECT doc_id, unnest(regexp_extract_all(text, '{_EMAIL}', 0, 'i')) AS "value" FROM documents WHERE contains(text, '@')""")
+def email_values(spark, sf_dir):
+    found = detect(_docs(spark, sf_dir).where(F.contains("text", F.lit("@"))), rules=tuple(r for r in RULES if r.type == "EMAIL"))
+    return found.select("doc_id", "text", F.explode("spans").alias("s")).select("doc_id", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
+
+
+@_query(r"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[2-6][0-9]{2,3}(?:[ \t-]?[0-9]){9,15}\b')) AS v FROM documents),
+d AS (SELECT doc_id, v, regexp_replace(v, '[^0-9]', '', 'g') AS x FROM c)
+SELECT doc_id, v AS "value" FROM d WHERE length(x) BETWEEN 13 AND 19 AND len(list_distinct(string_split(x, ''))) > 1
+AND list_sum(list_transform(generate_series(1, length(x)), lambda i: CASE WHEN (length(x) - i) % 2 = 1 THEN (CASE WHEN substr(x, i, 1)::INT * 2 > 9 THEN substr(x, i, 1)::INT * 2 - 9 ELSE substr(x, i, 1)::INT * 2 END) ELSE substr(x, i, 1)::INT END)) % 10 = 0""")
+def card_values(spark, sf_dir):
+    found = detect(_docs(spark, sf_dir), rules=tuple(r for r in RULES if r.reason == "luhn-checksum"))
+    return found.select("doc_id", "text", F.explode("spans").alias("s")).select("doc_id", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
+
+
+@_query(r"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b')) AS v FROM documents)
+SELECT doc_id, v AS "value" FROM c WHERE len(list_filter(string_split(v, '.'), lambda p: p::INT > 255 OR (length(p) > 1 AND p[1] = '0'))) = 0""")
+def ip_values(spark, sf_dir):
+    found = detect(_docs(spark, sf_dir), rules=tuple(r for r in RULES if r.type == "IP_ADDRESS"))
+    return found.select("doc_id", "text", F.explode("spans").alias("s")).select("doc_id", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
+
+
+@_query(r"""SELECT doc_id, unnest(regexp_extract_all(text, '\+[1-9][0-9]{0,2}(?:[ \t().-]*[0-9]){7,13}')) AS "value" FROM documents""")
+def international_phones(spark, sf_dir):
+    found = detect(_docs(spark, sf_dir), rules=tuple(r for r in RULES if r.reason == "international-phone-format"))
+    return found.select("doc_id", "text", F.explode("spans").alias("s")).select("doc_id", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
+
+
+@_query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def text_digest(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@_query()
+def sealed_round_trip(spark, sf_dir):
+    key = F.lit(bytearray(range(32)))
+    rows = _docs(spark, sf_dir).withColumn("aad", S.hmac_sha256(b"record key", F.col("doc_id").cast("string")))
+    sealed = rows.withColumn("sealed", P.seal(F.to_json(F.struct("doc_id", "text")), key, F.col("aad")))
+    opened = F.from_json(P.unseal(F.col("sealed"), key, F.col("aad")), "doc_id long, text string")
+    return sealed.select("doc_id", (opened["text"] == F.col("text")).alias("opened"), P.unseal(F.col("sealed"), key, F.lit("other")).isNull().alias("bound"))
+
+
+@_query("""WITH g AS (SELECT text, count(*) AS n FROM documents GROUP BY text)
+SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_unique, count(*) FILTER (n > 1) AS n_groups, sum(n - 1)::BIGINT AS n_extra, sum(n * (n - 1) // 2)::BIGINT AS n_pairs, max(n) AS largest FROM g""")
+def duplicate_groups(spark, sf_dir):
+    return E.duplicate_groups(_docs(spark, sf_dir), F.col("text"))
+
+
+@_query("""WITH a AS (SELECT source AS s, text AS h FROM documents), l AS (SELECT h, count(*) AS a FROM a WHERE s <> 'src0' GROUP BY h), r AS (SELECT h, count(*) AS b FROM a WHERE s = 'src0' GROUP BY h)
+SELECT count(*) AS n_shared, coalesce(sum(a), 0)::BIGINT AS left_rows, coalesce(sum(b), 0)::BIGINT AS right_rows, coalesce(sum(a * b), 0)::BIGINT AS row_pairs FROM l JOIN r USING (h)""")
+def corpus_overlap(spark, sf_dir):
+    rows = parquet(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("h"))
+    return E.overlap(rows.where("source <> 'src0'"), rows.where("source = 'src0'"))
+
+
+@_query("""SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99,
+quantile_disc(value, 0.95) AS rank95, max(value) AS largest, count(*) FILTER (value > 500) AS over_500, count(*) FILTER (value > 1000) AS over_1000 FROM events GROUP BY event_type""")
+def latency_summary(spark, sf_dir):
+    return E.latency_summary(parquet(spark, sf_dir, "events"), "event_type", "value")
+
+
+_BOUNDS = (1, 2, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000)
+
+
+@_query("SELECT event_type, le, count(*) FILTER (value <= le) AS n FROM events, (SELECT unnest([1, 2, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000])::DOUBLE AS le) b GROUP BY event_type, le")
+def duration_histogram(spark, sf_dir):
+    return E.histogram(parquet(spark, sf_dir, "events"), "event_type", "value", _BOUNDS)
+
+
+@_query("""SELECT event_id, CASE WHEN rn = 1 THEN 'created' WHEN event_type <> t THEN 'payload_conflict' WHEN m <> f THEN 'mode_conflict' ELSE 'repeated' END AS outcome FROM (
+SELECT event_id, event_type, event_id % 3 AS m, row_number() OVER w AS rn, first_value(event_type) OVER w AS t, first_value(event_id % 3) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""")
+def put_if_absent(spark, sf_dir):
+    rows = parquet(spark, sf_dir, "events").withColumn("mode", F.col("event_id") % 3)
+    return P.first_writers(rows, ["user_id"], ["ts", "event_id"], "event_type", "mode").select("event_id", "outcome")
+
+
+@_query("SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) <= 2 AS accepted FROM events")
+def rate_limit(spark, sf_dir):
+    return P.rate_limited(parquet(spark, sf_dir, "events"), "user_id", "ts", "event_id", "day", 2).select("event_id", "accepted")
+
+
+@_query()
+def record_expiry(spark, sf_dir):
+    return P.with_expiry(parquet(spark, sf_dir, "events"), "user_id", "ts", 86400 * 3)
+
+
+@_query("""SELECT doc_id, i * 15744 AS start, substr(text, (i * 15744 + 1)::BIGINT, 16000) AS chunk FROM (
+SELECT doc_id, text, unnest(generate_series(0, greatest(0, ceil((length(text) - 16000) / 15744.0)::BIGINT))) AS i FROM documents)""")
+def text_chunks(spark, sf_dir):
+    return P.chunks(_docs(spark, sf_dir))
+
+
+@_query("""WITH r AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 AS a FROM events), w AS (
+SELECT user_id, event_id, a, CASE WHEN max(a) OVER (PARTITION BY user_id ORDER BY a, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= a - 86400 THEN 0 ELSE 1 END AS s FROM r),
+i AS (SELECT user_id, a, sum(s) OVER (PARTITION BY user_id ORDER BY a, event_id) AS island FROM w)
+SELECT user_id, island::BIGINT AS island, min(a) AS start, max(a) AS "end", count(*) AS n FROM i GROUP BY ALL""")
+def merge_islands(spark, sf_dir):
+    rows = parquet(spark, sf_dir, "events").select("user_id", F.floor(P.micros("ts") / 1_000_000).alias("start"), F.floor(P.micros("ts") / 1_000_000).alias("end"))
+    return E.islands(rows, ["user_id"], "start", "end", 86400).groupBy("user_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
+
+
+_GOLD_SQL = """g AS (SELECT l.doc_id AS case_id, d.lang AS type, quality FROM labels l JOIN documents d USING (doc_id)),
+o AS (SELECT case_id, type, quality = 1 AS in_gold, case_id % 7 <> 0 AS in_predicted FROM g), c AS (
+SELECT CASE WHEN grouping(type) = 1 THEN 'ALL' ELSE type END AS type, count(*) FILTER (in_gold AND in_predicted) AS tp, count(*) FILTER (NOT in_gold AND in_predicted) AS fp, count(*) FILTER (in_gold AND NOT in_predicted) AS fn
+FROM o WHERE in_gold OR in_predicted GROUP BY ROLLUP (type))"""
+
+
+def _gold_and_predicted(spark, sf_dir):
+    rows = parquet(spark, sf_dir, "labels").join(parquet(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    keyed = rows.select(F.col("doc_id").alias("case_id"), F.col("lang").alias("type"), F.lit(0).alias("start"), F.lit(1).alias("end"), "quality")
+    return keyed.where("quality = 1"), keyed.where("case_id % 7 <> 0")
+
+
+@_query(f"WITH {_GOLD_SQL} SELECT type, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) ELSE 0 END, 6) AS f FROM c")
+def scores_by_type(spark, sf_dir):
+    return E.by_type(*_gold_and_predicted(spark, sf_dir))
+
+
+@_query("SELECT coalesce(quality::VARCHAR, 'ALL') AS gold, coalesce(toxic::VARCHAR, 'ALL') AS predicted, count(*) AS n FROM labels GROUP BY CUBE (quality, toxic)")
+def type_matrix(spark, sf_dir):
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("ALL"))
+    return parquet(spark, sf_dir, "labels").cube("quality", "toxic").agg(F.count("*").alias("n")).select(name("quality").alias("gold"), name("toxic").alias("predicted"), "n")
+
+
+@_query("SELECT o_orderpriority AS type, sum(l_quantity * l_linenumber)::DOUBLE AS weighted, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END)::DOUBLE AS certain FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def weighted_totals(spark, sf_dir):
+    joined = parquet(spark, sf_dir, "lineitem").join(parquet(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy(F.col("o_orderpriority").alias("type")).agg(F.sum(F.col("l_quantity") * F.col("l_linenumber")).cast("double").alias("weighted"), F.sum(F.when(F.col("l_returnflag") == "N", F.col("l_quantity")).otherwise(0)).cast("double").alias("certain"))
+
+
+@_query("SELECT doc_id AS case_id, CASE WHEN l.doc_id IS NULL THEN 'labels' END AS missing FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) WHERE l.doc_id IS NULL")
+def coverage_check(spark, sf_dir):
+    tables = {n: parquet(spark, sf_dir, n).select(F.col("doc_id").alias("case_id")) for n in ("documents", "labels")}
+    return E.coverage_problems(**tables).select("case_id", F.array_join("missing", ",").alias("missing"))
+
+
+@_query("SELECT lang, doc_id, rn FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY length(text) DESC, doc_id)::INT AS rn FROM documents) WHERE rn <= 5")
+def top_errors(spark, sf_dir):
+    rows = parquet(spark, sf_dir, "documents").select("lang", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.length("text")), "doc_id")).alias("rn"))
+    return rows.where("rn <= 5")
+
+
+@_query("SELECT item_id, row_number() OVER (ORDER BY sha256('case-' || item_id::VARCHAR), item_id)::INT AS rank FROM benchmark")
+def ranked_order(spark, sf_dir):
+    return parquet(spark, sf_dir, "benchmark").select("item_id", F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit("case-"), F.col("item_id").cast("string")), 256), "item_id")).alias("rank"))
+
+
+@_query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def metric_windows(spark, sf_dir):
+    return parquet(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+@_query("""SELECT conv_id, turn, role, CASE WHEN prev = next AND prev <> role THEN prev ELSE role END AS bridged FROM (
+SELECT conv_id, turn, role, lag(role) OVER w AS prev, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text))""")
+def bridge_labels(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn", "text")
+    rows = parquet(spark, sf_dir, "conversations").withColumn("prev", F.lag("role").over(w)).withColumn("next", F.lead("role").over(w))
+    return rows.select("conv_id", "turn", "role", F.when((F.col("prev") == F.col("next")) & (F.col("prev") != F.col("role")), F.col("prev")).otherwise(F.col("role")).alias("bridged"))
+
+
+@_query()
+def policy_select(spark, sf_dir):
+    found = detect(_docs(spark, sf_dir), rules=_FORMAT)
+    picked = P.select_by_policy(F.col("spans"), F.array(F.lit("EMAIL"), F.lit("PHONE"), F.lit("CARD")), F.lit(1), F.array(F.lit("EMAIL")), F.lit(True))
+    return found.select("doc_id", picked.alias("p")).select("doc_id", F.size("p.selected").cast("long").alias("n_selected"), F.array_join("p.detected_types", ",").alias("detected_types"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
