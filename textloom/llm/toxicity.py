@@ -101,33 +101,54 @@ def noisy_or(logits: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(-np.bincount(owner, weights=np.logaddexp(0, logits), minlength=n))
 
 
+def _parts(texts: list[str], limit: int = 1 << 20) -> list[tuple[int, int]]:
+    """Ranges of texts of about `limit` characters, so that features are only ever held for one range."""
+    cuts, total = [0], 0
+    for i, t in enumerate(texts):
+        total += len(t)
+        if total >= limit:
+            cuts.append(i + 1)
+            total = 0
+    return [(x, y) for x, y in zip(cuts, [*cuts[1:], len(texts)]) if x < y]
+
+
 def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
     """Weights from document labels, through the noisy-or."""
     zero = Model(np.zeros(1 << BITS, np.float32), 40.0 if len(toxic) and toxic.all() else -40.0)
     if not len(toxic) or toxic.all() or not toxic.any():
         return zero
-    bags = Bags(texts)
     n = len(texts)
-    seen = np.unique((bags.sentence_doc[bags.owner] << BITS) | bags.feature)
-    doc, feature = seen >> BITS, seen & ((1 << BITS) - 1)
-    pos = np.bincount(feature[toxic[doc] == 1], minlength=1 << BITS)
-    neg = np.bincount(feature[toxic[doc] == 0], minlength=1 << BITS)
+    parts = _parts(texts)
+    pos, neg = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for x, y in parts:
+        bags = Bags(texts[x:y])
+        seen = np.unique((bags.sentence_doc[bags.owner] << BITS) | bags.feature)
+        label, feature = toxic[x + (seen >> BITS)], seen & ((1 << BITS) - 1)
+        pos += np.bincount(feature[label == 1], minlength=1 << BITS)
+        neg += np.bincount(feature[label == 0], minlength=1 << BITS)
     p, q = (pos + 0.5) / (toxic.sum() + 1), (neg + 0.5) / ((1 - toxic).sum() + 1)
     gain = np.where(pos + neg >= MIN_DOCS, np.abs(np.log(p / q)) * np.sqrt(pos + neg), 0)
     kept = np.zeros(1 << BITS, bool)
     best = np.argsort(-gain, kind="stable")[:MAX_FEATURES]
     kept[best[gain[best] > 0]] = True
-    s, f = bags.pairs(kept)
-    column = np.cumsum(kept) - 1
-    f = column[f]
-    k, m = int(kept.sum()), len(bags.sentence_start)
+    found, owners, m = [], [], 0
+    for x, y in parts:
+        bags = Bags(texts[x:y])
+        sentence, feature = bags.pairs(kept)
+        found.append((sentence + m, feature))
+        owners.append(bags.sentence_doc + x)
+        m += len(bags.sentence_start)
+    s, f = (np.concatenate(c) for c in zip(*found))
+    sentence_doc = np.concatenate(owners)
+    f = (np.cumsum(kept) - 1)[f]
+    k = int(kept.sum())
     w, b = np.zeros(k), -7.0
     mean, var = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, STEPS + 1):
         z = b + np.bincount(s, weights=w[f], minlength=m)
-        a = np.bincount(bags.sentence_doc, weights=np.logaddexp(0, z), minlength=n)
+        a = np.bincount(sentence_doc, weights=np.logaddexp(0, z), minlength=n)
         slope = weight * np.where(toxic == 1, -1 / np.maximum(np.expm1(np.minimum(a, 500)), 1e-9), 1.0) / weight.sum()
-        dz = np.clip(slope, -1, 1)[bags.sentence_doc] / (1 + np.exp(-np.clip(z, -500, 500)))
+        dz = np.clip(slope, -1, 1)[sentence_doc] / (1 + np.exp(-np.clip(z, -500, 500)))
         grad = np.append(np.bincount(f, weights=dz[s], minlength=k) + DECAY * w / 10, dz.sum())
         mean, var = 0.9 * mean + 0.1 * grad, 0.99 * var + 0.01 * grad**2
         move = RATE * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)
