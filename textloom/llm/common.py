@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,9 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a kernel works on at once.
-BLOCK_BYTES = 4 << 20
-#: Bytes of input text per partition that shuffled stages aim at.
-PARTITION_BYTES = 32 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +44,14 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def trim() -> None:
+    """Give freed memory back to the system, so that a worker that lives through many stages keeps only what it uses."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
 def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Slices of a record batch with about `limit` bytes of text each (one row at least): (offset, slice)."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -65,6 +72,7 @@ def map_text_blocks(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordB
         for batch in batches:
             for _, block in blocks(batch, column, limit):
                 yield kernel(block)
+            trim()
 
     return df.mapInArrow(run, schema)
 

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textloom.llm.common import blocks, discard, materialize
+from textloom.llm.common import blocks, discard, materialize, trim
 from textloom.llm.hashing import PrefixHash, in_filter, make_filter, mix
 
 LENGTH, GRAM = 400, 200
@@ -108,6 +108,7 @@ def _anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 w = Windows(block.column("text").to_pylist(), length, gram)
                 key = block.column("key").to_numpy()[w.doc]
                 yield pa.RecordBatch.from_arrays([pa.array(w.gram.view(np.int64)), pa.array(w.whole.view(np.int64)), pa.array(key), pa.array(w.lo), pa.array(w.n.astype(np.int32))], ["gram", "whole", "key", "lo", "n"])
+            trim()
 
     return texts.mapInArrow(run, "gram long, whole long, key long, lo long, n int")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.llm import bpe_kernel
-from textloom.llm.common import blocks, id_and_text, map_text_blocks
+from textloom.llm.common import blocks, id_and_text, map_text_blocks, trim
 
 BITS = 18
 #: Rows of each class that training reads at most, and bytes of text of each row.
@@ -198,6 +198,7 @@ def score_column(model: Model, text: Column) -> Column:
         for _, block in blocks(batch, "text"):
             bags = Bags([t or "" for t in block.column("text").to_pylist()])
             out.append(np.clip(noisy_or(bags.logits(Model(weights, bias)), bags.sentence_doc, block.num_rows), 0.0, 1.0))
+        trim()
         return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
     return run(text)
