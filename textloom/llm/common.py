@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a kernel works on at once.
 BLOCK_BYTES = 2 << 20
+#: Rows of an Arrow batch between Spark and Python.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +30,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from now on: whole texts in batches of the usual 10,000 rows fill the memory beside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it again: lineage ends there, any executor can be lost."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
@@ -68,11 +78,13 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iter
 def map_text_blocks(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text", limit: int = BLOCK_BYTES) -> DataFrame:
     """Apply kernel to blocks of about `limit` bytes of text; rows stay in their partitions."""
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         for batch in batches:
             for _, block in blocks(batch, column, limit):
                 yield kernel(block)
-            trim()
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -37,7 +37,7 @@ from textloom.llm.hashing import PrefixHash, in_filter, make_filter, mix
 
 LENGTH, GRAM = 400, 200
 #: Bytes of a text that are looked at at once; longer texts are cut into overlapping pieces.
-PIECE = 2 << 20
+PIECE = 1 << 20
 _POSITION = 24
 
 
@@ -108,7 +108,7 @@ def _anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 w = Windows(block.column("text").to_pylist(), length, gram)
                 key = block.column("key").to_numpy()[w.doc]
                 yield pa.RecordBatch.from_arrays([pa.array(w.gram.view(np.int64)), pa.array(w.whole.view(np.int64)), pa.array(key), pa.array(w.lo), pa.array(w.n.astype(np.int32))], ["gram", "whole", "key", "lo", "n"])
-            trim()
+        trim()
 
     return texts.mapInArrow(run, "gram long, whole long, key long, lo long, n int")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.llm import bpe_kernel
-from textloom.llm.common import blocks, id_and_text, map_text_blocks, trim
+from textloom.llm.common import blocks, id_and_text, map_text_blocks, small_batches, trim
 
 BITS = 18
 #: Rows of each class that training reads at most, and bytes of text of each row.
@@ -206,6 +206,7 @@ def score_column(model: Model, text: Column) -> Column:
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose text scores below threshold, with all their columns."""
+    small_batches(docs.sparkSession)
     return docs.where(score_column(model, F.col("text")) < threshold)
 
 
