@@ -199,7 +199,7 @@ class Distinct:
 class WordCache:
     """Pieces of short pre-tokens seen in earlier blocks of this worker; it starts anew beyond `limit` words."""
 
-    def __init__(self, limit: int = 1 << 18):
+    def __init__(self, limit: int = 1 << 17):
         self.limit = limit
         self.clear()
 

@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a kernel works on at once.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Rows of an Arrow batch between Spark and Python.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,7 @@ def map_text_blocks(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordB
     small_batches(df.sparkSession)
 
     def run(batches):
+        trim()
         for batch in batches:
             for _, block in blocks(batch, column, limit):
                 yield kernel(block)

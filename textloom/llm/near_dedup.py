@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm import bpe_kernel
-from textloom.llm.common import blocks, discard, id_and_text, map_text_blocks, materialize
+from textloom.llm.common import blocks, discard, id_and_text, map_text_blocks, materialize, trim
 from textloom.llm.components import components
 from textloom.llm.hashing import in_filter, make_filter, mix
 
@@ -218,6 +218,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 offsets = pa.py_buffer((np.concatenate([[0], np.cumsum(sets.counts)]) * 8).astype(np.int32))
                 column = pa.Array.from_buffers(pa.binary(), block.num_rows, [None, offsets, pa.py_buffer(sets.values)])
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(k1), pa.array(k2), column], ["rep", "k1", "k2", "set"])
+        trim()
 
     return id_and_text(docs).mapInArrow(run, "rep long, k1 long, k2 long, set binary")
 
@@ -328,6 +329,7 @@ def _in_blocks(rows: DataFrame, group: str, block: int, exact: bool) -> DataFram
                 held = held.slice(int(cuts[-1]))
         if held is not None:
             yield from compare(held)
+        trim()
 
     return cut.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 

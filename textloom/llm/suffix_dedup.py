@@ -150,6 +150,7 @@ def _edge_windows(texts: DataFrame, keys, grams, ids, length: int, gram: int) ->
                         [pa.array(mix(one ^ (two >> np.uint64(7))).view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.repeat(key[part], n)), pa.array((np.repeat(w.lo[part], n) + step).astype(np.int64))],
                         ["first", "second", "key", "lo"],
                     )
+        trim()
 
     return texts.mapInArrow(run, "first long, second int, key long, lo long")
 
