@@ -82,6 +82,24 @@ def test_bpe_round_trip(docs, empty):
     assert bpe.round_trip(empty, RANKS, tok.PATTERN).count() == 0
 
 
+def test_fold_by_higher_order_functions(spark):
+    import regex
+    import tiktoken
+
+    lib = tiktoken.Encoding("own", pat_str=tok.PATTERN, mergeable_ranks=bpe_kernel.rank_map(RANKS), special_tokens={})
+    rnd = random.Random(4)
+    random_words = ["".join(rnd.choice("aeinorst é") for _ in range(rnd.randint(1, 24))) for _ in range(150)]
+    words = sorted({w for t in [*_texts()[:11], *random_words] for w in regex.findall(tok.PATTERN, (t or "")[:20000])})
+    table = spark.createDataFrame([(bytearray(w.encode()),) for w in [*words, ""]] + [(None,)], "word binary")
+    folded = bpe.fold_words_sql(table, RANKS)
+    got = {bytes(r["word"] or b"").decode(): r["ids"] for r in folded.collect()}
+    assert got.pop("") == []
+    assert got == {w: lib.encode_ordinary(w) for w in words}
+    back = bpe.decode_sql(folded, RANKS, id_col="word")
+    assert all(bytes(r["bytes"]) == bytes(r["doc_id"] or b"") for r in back.collect())
+    assert bpe.fold_words_sql(table.limit(0), RANKS).count() == 0
+
+
 def test_kernel_on_random_texts():
     import tiktoken
 
