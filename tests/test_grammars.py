@@ -1,0 +1,45 @@
+import pytest
+
+from textloom.operators.grammars import GRAMMAR
+from textloom.operators.recognizers import detect, every_rule
+
+CASES = [
+    ("Договор подписал Мирошников Степан Ильич вчера", [("PERSON", "Мирошников Степан Ильич")]),
+    ("Договор подписал Мирошников Степан Олегович вчера", [("PERSON", "Мирошников Степан Олегович")]),
+    ("клиент: Тарасов И. П., тел. нет", [("PERSON", "Тарасов И. П.")]),
+    ("поэт Степан Мирошников написал роман", []),
+    ("Степан Мирошников пришёл", [("PERSON", "Степан Мирошников")]),
+    ("улица Степана Мирошникова", []),
+    ("ФИО: Айгүл Нұрланқызы.", [("PERSON", "Айгүл Нұрланқызы")]),
+    ("дата рождения: 31.12.1985", [("BIRTH_DATE", "31.12.1985")]),
+    ("дата рождения: 31.02.1985", []),
+    ("дата рождения клиента: 5 мая 85", [("BIRTH_DATE", "5 мая 85")]),
+    ("дата рождения — двадцать первое мая тысяча девятьсот восемьдесят пятого года", [("BIRTH_DATE", "двадцать первое мая тысяча девятьсот восемьдесят пятого года")]),
+    ("дата рождения — тридцать второе мая тысяча девятьсот восемьдесят пятого года", []),
+    ("дата выдачи паспорта 03.04.2011", [("PASSPORT_DATE", "03.04.2011")]),
+    ("гражданство: РФ", [("CITIZENSHIP", "РФ")]),
+    ("родился 01.02.1990 в г. Зареченск.", [("BIRTH_DATE", "01.02.1990"), ("BIRTH_PLACE", "г. Зареченск")]),
+    ("орган выдачи паспорта: ОВД Заречного района, код подразделения 770-001", [("PASSPORT_ISSUER", "ОВД Заречного района")]),
+    ("живу: 101000, г. Зареченск, ул. Лесная, д. 5, кв. 12 и рядом лес", [("ADDRESS", "101000, г. Зареченск, ул. Лесная, д. 5, кв. 12")]),
+    ("отделение банка: ул. Лесная, д. 5", []),
+    ("держатель карты: IVAN DEMIDOV, срок", [("CARDHOLDER", "IVAN DEMIDOV")]),
+    ("сервер 2001:db8::1 и 1::2::3", [("IP_ADDRESS", "2001:db8::1")]),
+    ("в 10:20:30 и std::vector", []),
+    ("", []),
+    (None, []),
+]
+
+
+def _found(rows):
+    return {r["id"]: [(s["type"], r["text"][s["start"] : s["end"]]) for s in r["spans"]] for r in rows}
+
+
+def test_grammars_find_exactly_these(spark):
+    got = _found(detect(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "id int, text string"), rules=GRAMMAR).collect())
+    wrong = [(t, got[i], want) for i, (t, want) in enumerate(CASES) if got[i] != want]
+    assert not wrong
+
+
+def test_with_the_format_rules(spark):
+    text = "ФИО: Мирошников Степан Олегович, почта a@example.net, ул. Лесная, д. 5"
+    assert _found(detect(spark.createDataFrame([(0, text)], "id int, text string"), rules=every_rule()).collect())[0] == [("PERSON", "Мирошников Степан Олегович"), ("EMAIL", "a@example.net"), ("ADDRESS", "ул. Лесная, д. 5")]

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from textloom.functions import spans as S
 from textloom.operators import evaluate as E, protocol as P
-from textloom.operators.recognizers import RULES, detect
+from textloom.operators.bootstrap import intervals
+from textloom.operators.recognizers import RULES, detect, every_rule
 from textloom.sources.tables import parquet
 
 _FORMAT = tuple(r for r in RULES if r.reason in ("format", "ip-address-format", "international-phone-format", "luhn-checksum"))
@@ -233,6 +234,19 @@ def bridge_labels(spark, sf_dir):
     return rows.select("conv_id", "turn", "role", F.when((F.col("prev") == F.col("next")) & (F.col("prev") != F.col("role")), F.col("prev")).otherwise(F.col("role")).alias("bridged"))
 
 
+@_query()
+def detect_all_types(spark, sf_dir):
+    return detect(_docs(spark, sf_dir), rules=every_rule()).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+
+
+@_query()
+def f1_intervals(spark, sf_dir):
+    rows = parquet(spark, sf_dir, "labels").select(F.col("doc_id").alias("case_id"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("system"), "quality")
+    right = F.when(F.col("system") == "a", F.col("case_id") % 7 != 0).otherwise(F.col("case_id") % 5 != 0)
+    gold = F.col("quality") == 1
+    return intervals(rows.select("case_id", "system", (gold & right).cast("int").alias("tp"), (~gold & right).cast("int").alias("fp"), (gold & ~right).cast("int").alias("fn")), "a")
+
+
 @_query()
 def policy_select(spark, sf_dir):
     found = detect(_docs(spark, sf_dir), rules=_FORMAT)
