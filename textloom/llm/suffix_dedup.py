@@ -38,6 +38,9 @@ from textloom.llm.hashing import PrefixHash, in_filter, make_filter, mix
 LENGTH, GRAM = 400, 200
 #: Bytes of a text that are looked at at once; longer texts are cut into overlapping pieces.
 PIECE = 1 << 20
+#: Bytes of a text that are worked on together; a longer text takes several rounds, so memory doesn't grow with it.
+PART = 8 * PIECE
+#: Bits of a position beside a hash; they only tell the positions of one window apart.
 _POSITION = 24
 
 
@@ -68,13 +71,17 @@ class Windows:
         # smallest hash of each `width` grams: prefix and suffix minima of rows of `width`
         rows = -(-n // width) + 1
         key = np.full(rows * width, np.uint64(0xFFFFFFFFFFFFFFFF))
-        key[:n] = (grams >> np.uint64(_POSITION) << np.uint64(_POSITION)) | np.arange(n, dtype=np.uint64)
+        low = np.uint64((1 << _POSITION) - 1)
+        key[:n] = (grams & ~low) | (np.arange(n, dtype=np.uint64) & low)
         grid = key.reshape(rows, width)
         after = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
         before = np.minimum.accumulate(grid, axis=1).ravel()
         total = len(self.data) - length + 1
         least = np.minimum(after[:total], before[width - 1 : width - 1 + total])
-        anchor = (least & np.uint64((1 << _POSITION) - 1)).astype(np.int64)
+        # the anchor stands less than `width` behind the window's start, so its low bits tell its place
+        first = np.arange(total, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            anchor = (first + ((least - first) & low)).astype(np.int64)
         valid = np.zeros(total + 1, bool)
         ends = begin + sizes - length + 1
         mark = np.zeros(total + 1, np.int64)
@@ -96,6 +103,17 @@ class Windows:
             self.whole = mix(self.hash.slices(start, stop - 1 + length) + self.n.astype(np.uint64))
 
 
+def _parts(texts: list[bytes], length: int, gram: int):
+    """Windows of a block of texts, those of a long text in parts of PART window starts."""
+    for i, t in enumerate(texts if max(map(len, texts), default=0) > PART else []):
+        for at in range(0, max(1, len(t) - length + 1), PART):
+            w = Windows([t[at : at + PART + length - 1]], length, gram)
+            w.doc, w.lo = w.doc + i, w.lo + at
+            yield w
+    if max(map(len, texts), default=0) <= PART:
+        yield Windows(texts, length, gram)
+
+
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     """key (hash of the text), text of every row with a text."""
     return docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("text")).where(F.col("text").isNotNull())
@@ -105,9 +123,9 @@ def _anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for _, block in blocks(batch, "text", PIECE):
-                w = Windows(block.column("text").to_pylist(), length, gram)
-                key = block.column("key").to_numpy()[w.doc]
-                yield pa.RecordBatch.from_arrays([pa.array(w.gram.view(np.int64)), pa.array(w.whole.view(np.int64)), pa.array(key), pa.array(w.lo), pa.array(w.n.astype(np.int32))], ["gram", "whole", "key", "lo", "n"])
+                for w in _parts(block.column("text").to_pylist(), length, gram):
+                    key = block.column("key").to_numpy()[w.doc]
+                    yield pa.RecordBatch.from_arrays([pa.array(w.gram.view(np.int64)), pa.array(w.whole.view(np.int64)), pa.array(key), pa.array(w.lo), pa.array(w.n.astype(np.int32))], ["gram", "whole", "key", "lo", "n"])
         trim()
 
     return texts.mapInArrow(run, "gram long, whole long, key long, lo long, n int")
@@ -137,19 +155,19 @@ def _edge_windows(texts: DataFrame, keys, grams, ids, length: int, gram: int) ->
         for batch in batches:
             batch = batch.filter(pa.array(in_filter(keys.value, batch.column("key").to_numpy())))
             for _, block in blocks(batch, "text", PIECE):
-                w = Windows(block.column("text").to_pylist(), length, gram)
-                key = block.column("key").to_numpy()[w.doc]
-                hit = np.flatnonzero(in_filter(grams.value, w.gram.view(np.int64)) & in_filter(ids.value, _row_id(key, w.lo))) if len(w.n) else np.zeros(0, np.int64)
-                for part in np.array_split(hit, 1 + len(hit) // 4096):
-                    n = w.n[part]
-                    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    at = np.repeat(w.start[part], n) + step
-                    half = length // 2
-                    one, two = w.hash.slices(at, at + half), w.hash.slices(at + half, at + length)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(mix(one ^ (two >> np.uint64(7))).view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.repeat(key[part], n)), pa.array((np.repeat(w.lo[part], n) + step).astype(np.int64))],
-                        ["first", "second", "key", "lo"],
-                    )
+                for w in _parts(block.column("text").to_pylist(), length, gram):
+                    key = block.column("key").to_numpy()[w.doc]
+                    hit = np.flatnonzero(in_filter(grams.value, w.gram.view(np.int64)) & in_filter(ids.value, _row_id(key, w.lo))) if len(w.n) else np.zeros(0, np.int64)
+                    for part in np.array_split(hit, 1 + len(hit) // 4096):
+                        n = w.n[part]
+                        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                        at = np.repeat(w.start[part], n) + step
+                        half = length // 2
+                        one, two = w.hash.slices(at, at + half), w.hash.slices(at + half, at + length)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(mix(one ^ (two >> np.uint64(7))).view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.repeat(key[part], n)), pa.array((np.repeat(w.lo[part], n) + step).astype(np.int64))],
+                            ["first", "second", "key", "lo"],
+                        )
         trim()
 
     return texts.mapInArrow(run, "first long, second int, key long, lo long")
