@@ -9,7 +9,8 @@ hash of id and text, so a rerun or a lost executor draws the same rows.
 
 Targets default to the observed shares raised to a power below 1, which takes
 weight from a dominating source. Only the table of cells is used for fitting;
-up to MAX_CELLS cells it is fitted in the driver, beyond that as DataFrames.
+up to MAX_CELLS cells it is fitted in the driver, beyond that as DataFrames, to
+the same tolerance, rounds and rate.
 
 A null source or language is a category of its own; null and empty texts have
 0 tokens and the topic "empty", cells without tokens have the factor 1. Equal
@@ -19,9 +20,11 @@ rows draw alike. Empty tables give empty results; other columns are kept.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textloom.llm.common import materialize
+from textloom.llm.common import discard, materialize
 
 MARGINS = ("source", "lang", "topic")
 #: Powers of the observed shares that are the default targets.
@@ -29,6 +32,8 @@ POWERS = {"source": 0.5, "lang": 0.8, "topic": 0.9}
 SHARE, SEED = 0.6, 17
 BYTES_PER_TOKEN = 4
 MAX_CELLS, ROUNDS, TOLERANCE = 100_000, 200, 1e-9
+#: Rates tried in one pass over a table of cells too large for the driver.
+RATES = 64
 NULL = "\x00null"
 
 
@@ -90,18 +95,60 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray])
     return w
 
 
-def _rake_frames(cells: DataFrame, targets: dict[str, dict]) -> DataFrame:
-    """The same for a table of cells too large for the driver: one aggregate and one join for each margin and round."""
-    spark = cells.sparkSession
-    now = cells.withColumn("w", F.col("tokens").cast("double"))
-    for _ in range(20):
-        for name in MARGINS:
-            want = spark.createDataFrame(list(targets[name].items()), f"{name} string, target double")
-            have = now.groupBy(name).agg(F.sum("w").alias("have")).join(want, name, "left")
-            ratio = F.when(F.col("have") > 0, F.coalesce(F.col("target"), F.lit(0.0)) / F.col("have")).otherwise(1.0)
-            now = now.join(have.select(name, ratio.alias("ratio")), name).withColumn("w", F.col("w") * F.col("ratio")).drop("ratio")
-        now, _ = materialize(now, "raking")
-    return now
+def _margin_sums(cells: DataFrame, factors: list[np.ndarray], margin: int) -> np.ndarray:
+    """Weight of each category of one margin, with the factors of all margins applied."""
+    size = len(factors[margin])
+
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            code = [batch.column(f"code{i}").to_numpy() for i in range(len(MARGINS))]
+            w = batch.column("tokens").to_numpy().astype(float)
+            for f, c in zip(factors, code):
+                w = w * f[c]
+            total += np.bincount(code[margin], weights=w, minlength=size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "w"])
+
+    sums = cells.mapInArrow(run, "code long, w double").groupBy("code").agg(F.sum("w").alias("w")).toArrow()
+    out = np.zeros(size)
+    out[sums.column("code").to_numpy()] = sums.column("w").to_numpy()
+    return out
+
+
+def _rake_frames(cells: DataFrame, targets: dict[str, dict], names: dict[str, list]) -> DataFrame:
+    """The same for a table of cells too large for the driver, which holds one factor for each category only: cells with their factor, written to the shared folder."""
+
+    def code(batches):
+        for batch in batches:
+            codes = [pc.index_in(batch.column(m), pa.array(names[m], pa.string())).cast(pa.int64()) for m in MARGINS]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *codes], [*batch.schema.names, *(f"code{i}" for i in range(len(MARGINS)))])
+
+    kinds = "source string, lang string, topic string, tokens long"
+    coded, path = materialize(cells.select(*MARGINS, "tokens").mapInArrow(code, kinds + ", code0 long, code1 long, code2 long"), "codes")
+    want = [np.array([targets[m].get(k, 0.0) for k in names[m]], float) for m in MARGINS]
+    factors = [np.ones(len(names[m])) for m in MARGINS]
+    for _ in range(ROUNDS):
+        worst = 0.0
+        for i, target in enumerate(want):
+            have = _margin_sums(coded, factors, i)
+            ratio = np.divide(target, have, out=np.ones(len(target)), where=have > 0)
+            worst = max(worst, float(np.abs(ratio - 1).max(initial=0)))
+            factors[i] = factors[i] * ratio
+        if worst < TOLERANCE:
+            break
+
+    def apply(batches):
+        for batch in batches:
+            w = np.ones(batch.num_rows)
+            for i, f in enumerate(factors):
+                w = w * f[batch.column(f"code{i}").to_numpy()]
+            w[batch.column("tokens").to_numpy() == 0] = 1.0
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(w)], [*batch.schema.names[:4], "factor"])
+
+    raked, _ = materialize(coded.mapInArrow(apply, kinds + ", factor double"), "raked")
+    discard(cells.sparkSession, path)
+    return raked
 
 
 def rate_for(tokens: np.ndarray, factor: np.ndarray, share: float) -> float:
@@ -119,6 +166,49 @@ def rate_for(tokens: np.ndarray, factor: np.ndarray, share: float) -> float:
     return high
 
 
+def _expected(raked: DataFrame, rates: np.ndarray) -> np.ndarray:
+    """Expected tokens at each rate."""
+
+    def run(batches):
+        total = np.zeros(len(rates))
+        for batch in batches:
+            tokens, factor = batch.column("tokens").to_numpy().astype(float), batch.column("factor").to_numpy()
+            total += [float((tokens * np.minimum(1.0, r * factor)).sum()) for r in rates]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rates))), pa.array(total)], ["at", "n"])
+
+    sums = raked.select("tokens", "factor").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(rates))
+    out[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
+    return out
+
+
+def _rate_frames(raked: DataFrame, total: float, share: float) -> float:
+    """rate_for() for a table of cells too large for the driver: many rates in each pass."""
+    want = share * total
+    positive = raked.where("factor <= 0").isEmpty()
+    most = total if positive else float(_expected(raked, np.array([1e18]))[0])
+    if most <= want:
+        return 1e18
+    low, high = 0.0, 0.0
+    for k in range(0, 1024, RATES):
+        tried = 2.0 ** np.arange(k, min(k + RATES, 1024))
+        enough = np.flatnonzero(_expected(raked, tried) >= want)
+        if len(enough):
+            high = float(tried[enough[0]])
+            break
+    else:
+        return 1e18
+    for _ in range(40):  # RATES + 1 parts of the range in each pass: as fine as 200 halvings
+        tried = low + (high - low) * np.arange(1, RATES + 1) / (RATES + 1)
+        tried = tried[(tried > low) & (tried < high)]
+        if not len(tried) or high - low <= 1e-15 * high:
+            break
+        enough = np.flatnonzero(_expected(raked, tried) >= want)
+        first = int(enough[0]) if len(enough) else len(tried)
+        low, high = float(tried[first - 1]) if first else low, float(tried[first]) if first < len(tried) else high
+    return high
+
+
 def probabilities(cells: DataFrame, targets: dict[str, dict] | None = None, share: float = SHARE, max_cells: int = MAX_CELLS) -> tuple[DataFrame, bool]:
     """(source, lang, topic, factor, probability of every cell; whether the table is within max_cells)."""
     spark = cells.sparkSession
@@ -128,14 +218,10 @@ def probabilities(cells: DataFrame, targets: dict[str, dict] | None = None, shar
     want = _scaled(targets or default_targets(observed), observed)
     schema = "source string, lang string, topic string, factor double, probability double"
     if not few:
-        raked = _rake_frames(cells, want).withColumn("factor", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0))
-        low, high = 0.0, 1e6  # the rate by halving, one aggregate for each step
-        goal = share * sum(observed["source"].values())
-        for _ in range(40):
-            mid = (low + high) / 2
-            got = raked.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), mid * F.col("factor")))).first()[0]
-            low, high = (mid, high) if got < goal else (low, mid)
-        return raked.select(*MARGINS, "factor", F.least(F.lit(1.0), high * F.col("factor")).alias("probability")), few
+        total = sum(observed["source"].values())
+        raked = _rake_frames(cells, want, {m: sorted(observed[m]) for m in MARGINS})
+        rate = _rate_frames(raked, total, share) if total > 0 else 1.0
+        return raked.select(*MARGINS, "factor", F.least(F.lit(1.0), rate * F.col("factor")).alias("probability")), few
     rows = sorted(cells.collect(), key=lambda r: tuple(r[m] for m in MARGINS))
     tokens = np.array([r["tokens"] for r in rows], float)
     codes, totals = [], []
