@@ -32,7 +32,11 @@ STOP_WORDS = frozenset(
     "el los las y que del se con por para una no su al lo como más pero sus o este sí porque esta entre cuando muy sin sobre".split()
 )
 #: Inline tags, containers of content, containers that never hold it, words of class, id and role that mark the latter.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+    # a formula is part of its line
+    "math maction annotation annotation-xml menclose merror mfenced mfrac mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup "
+    "mtable mtd mtext mtr munder munderover none semantics".split()
+)
 CONTENT = frozenset(["article", "main"])
 NEVER = frozenset("nav footer aside form menu dialog button select option fieldset figcaption iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,10 +51,16 @@ LINK_SHARE = 0.5
 SHORT, LONG, STOP_LOW, STOP_HIGH = 70, 200, 0.08, 0.2
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|svg|math|title|head)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</\1\s*>|.*\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</\1\s*>|.*\Z)"
     r"|<(/?)([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|[^<]+|<",
     re.S | re.I,
 )
+_SVG_END = re.compile(r"</svg\s*>", re.I)
+#: Tags that no drawing has: a drawing without an end tag ends there.
+_NOT_SVG = re.compile(
+    r"<(?:/(?:a|button)|/?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|img|li|main|nav|ol|p|pre|section|span|table|tbody|td|th|tr|ul))\b",
+    re.I,
+)
 _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -71,6 +81,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool]]:
     parts: list[str] = []
     linked: list[str] = []
     link, never, inside, containers = False, False, -1, 0
+    at, svg_ends = 0, True
 
     def close() -> None:
         if parts:
@@ -80,14 +91,16 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool]]:
             parts.clear()
             linked.clear()
 
-    for m in _TOKEN.finditer(page):
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
         whole = m[0]
         tag = m[3]
         if tag is None:
             if m[1] is not None:
-                if m[1].lower() in ("script", "style", "template", "svg", "math"):
+                if m[1].lower() in ("script", "style", "template"):
                     continue
-                close()  # head, title, textarea: no part of the page's text
+                close()  # title, textarea: no part of the page's text
             elif not whole.startswith("<!") and not whole.startswith("<?") and not whole.startswith("</"):
                 parts.append(whole)
                 if link:
@@ -100,6 +113,12 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool]]:
             link = not m[2]
         elif tag in INLINE:
             continue
+        elif tag == "svg":
+            if not m[2] and not m[4].endswith("/"):
+                end = _SVG_END.search(page, at) if svg_ends else None
+                svg_ends = end is not None
+                rest = None if end else _NOT_SVG.search(page, at)
+                at = end.end() if end else rest.start() if rest else len(page)
         else:
             close()
             link = False
