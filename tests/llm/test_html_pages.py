@@ -23,3 +23,22 @@ def test_omitted_ends(page):
 
 def test_formulas_stay():
     assert extract(f"<article><p>{PROSE} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>") == f"{PROSE} x=1 holds."
+
+
+@pytest.mark.parametrize("wrapper", ["class='layout has-sidebar'", "class=no-sidebar", "class='content-side'", "class='page with-related'", "id='search-result-page'"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_marked_wrappers_of_the_content(wrapper, tag):
+    beside = "<div class='sidebar'><p>Something else that stands beside the text and is of no use to you at all, as it is not in the article.</p></div>"
+    page = f"<body><div {wrapper}><div class='inner'>{beside}<{tag}><p>{PROSE}</p>{beside}</{tag}></div></div></body>"
+    assert extract(page) == PROSE
+
+
+def test_comments_and_tags_keep_their_marks():
+    comments = f"<div class='comments'><article class='comment-body'><p>{PROSE} I disagree.</p></article></div>"
+    assert extract(f"<article><p>{PROSE}</p>{comments}</article>{comments}") == PROSE
+    assert extract(f"<nav><article><p>{PROSE}</p></article></nav>") == ""
+
+
+def test_linked_paragraph_of_an_article():
+    assert extract(f"<article><p>{PROSE}</p><p><a href=x>{PROSE}</a> More.</p></article>") == f"{PROSE}\n\n{PROSE} More."
+    assert extract(f"<article><p>{PROSE}</p></article><div><a href=x>{PROSE}</a></div>") == PROSE

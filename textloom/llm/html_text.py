@@ -45,7 +45,9 @@ MARKS = frozenset(
     "cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget "
     "comment comments disqus reply replies respondlist search pagination pager toolbar complementary contentinfo dialog".split()
 )
-#: Share of a block's characters inside links from which it is never content.
+#: Words of class, id and role of an article that is a reader's comment.
+COMMENT = frozenset("comment comments disqus reply replies respondlist".split())
+#: Share of a block's characters inside links from which it isn't content, outside article and main.
 LINK_SHARE = 0.5
 #: Characters below which a block is ambiguous, and from which few stop words suffice; stop-word shares.
 SHORT, LONG, STOP_LOW, STOP_HIGH = 70, 200, 0.08, 0.2
@@ -65,19 +67,22 @@ _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, marks: frozenset = MARKS) -> bool:
     """Whether class, id or role name a container that never holds content."""
     for m in _ATTRIBUTE.finditer(attributes):
         for value in m.groups():
-            if value and any(w in MARKS for w in re.split(r"[^a-z]+", value.lower())):
+            if value and any(w in marks for w in re.split(r"[^a-z]+", value.lower())):
                 return True
     return False
 
 
 def blocks_of(page: str) -> list[tuple[str, int, int, bool]]:
     """(text, characters inside links, content container or -1, stands in a container that is never content)."""
-    out: list[tuple[str, int, int, bool]] = []
-    stack: list[tuple[str, bool, int]] = []  # open containers: tag, never content, content container
+    out: list[tuple[str, int, int, bool, int]] = []
+    # open containers: tag, never content by a tag, content container, innermost marked container or 0
+    stack: list[tuple[str, bool, int, int]] = []
+    marked, around = 0, [0]  # around: the next marked container outside each
+    holders = {0}  # marked containers that hold an article or main; those around them hold it too
     parts: list[str] = []
     linked: list[str] = []
     link, never, inside, containers = False, False, -1, 0
@@ -87,7 +92,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool]]:
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                out.append((text, len(" ".join(html_lib.unescape("".join(linked)).split())), inside, never))
+                out.append((text, len(" ".join(html_lib.unescape("".join(linked)).split())), inside, never, marked))
             parts.clear()
             linked.clear()
 
@@ -125,28 +130,38 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool]]:
             if tag in VOID:
                 continue
             if m[2]:
-                if any(t == tag for t, _, _ in stack):
+                if any(t[0] == tag for t in stack):
                     while stack.pop()[0] != tag:
                         pass
             elif not m[4].endswith("/"):
                 if tag in CONTENT:
                     containers += 1
-                    stack.append((tag, never, inside if inside >= 0 else containers))
-                elif tag != "p" and tag not in ("li", "tr", "td", "th", "dt", "dd", "html", "body"):
-                    bad = tag in NEVER or (tag == "header" and inside < 0) or _marked(m[4])
-                    stack.append((tag, never or bad, inside))
-                elif tag not in ("html", "body") and _marked(m[4]):
-                    stack.append((tag, True, inside))
+                    if inside < 0 and not _marked(m[4], COMMENT):
+                        # wrappers of the content: their marks say what stands beside it
+                        while marked not in holders:
+                            holders.add(marked)
+                            marked = around[marked]
+                        marked = 0
+                    stack.append((tag, never, inside if inside >= 0 else containers, marked))
+                elif tag not in ("html", "body"):
+                    item = tag in ("p", "li", "tr", "td", "th", "dt", "dd")
+                    own = _marked(m[4])
+                    if own:
+                        around.append(marked)
+                    if own or not item:
+                        bad = not item and (tag in NEVER or (tag == "header" and inside < 0))
+                        stack.append((tag, never or bad, inside, len(around) - 1 if own else marked))
             never = stack[-1][1] if stack else False
             inside = stack[-1][2] if stack else -1
+            marked = stack[-1][3] if stack else 0
     close()
-    return out
+    return [(text, n, inside, never or marked not in holders) for text, n, inside, never, marked in out]
 
 
 def classify(block: tuple[str, int, int, bool]) -> bool | None:
     """True: content, False: not, None: ambiguous."""
     text, linked, inside, never = block
-    if never or linked > LINK_SHARE * len(text):
+    if never or (inside < 0 and linked > LINK_SHARE * len(text)):
         return False
     if len(text) < SHORT:
         return None
