@@ -131,6 +131,38 @@ def test_suffix_dedup_against_brute_force(docs, empty):
     assert suffix_dedup.without_repeats(docs).columns == docs.columns
 
 
+def _without_word_windows(texts, width):
+    """The texts without the words that a sequence of `width` words covers which starts anywhere else too."""
+    words = [[m.span() for m in re.finditer(rb"[^ \t-\r]+", t)] for t in texts]
+    seen: dict[tuple, int] = {}
+    for t, w in zip(texts, words):
+        for i in range(len(w) - width + 1):
+            k = tuple(t[a:b] for a, b in w[i : i + width])
+            seen[k] = seen.get(k, 0) + 1
+    for t, w in zip(texts, words):
+        gone = bytearray(len(t))
+        for i in range(len(w) - width + 1):
+            if seen[tuple(t[a:b] for a, b in w[i : i + width])] > 1:
+                gone[w[i][0] : w[i + width - 1][1]] = b"\1" * (w[i + width - 1][1] - w[i][0])
+        yield bytes(c for c, g in zip(t, gone) if not g)
+
+
+@pytest.mark.parametrize("members", [1 << 23, 0])
+def test_passages_of_words_against_brute_force(spark, docs, monkeypatch, members):
+    from textloom.llm import hashing
+
+    monkeypatch.setattr(hashing, "FILTER_MEMBERS", members)  # 0: joins take the place of filters
+    rnd = random.Random(6)
+    passage = lambda n: "  ".join(rnd.choice(WORDS) for _ in range(n))
+    shared = [passage(n) for n in (50, 51, 52, 70, 120)]
+    texts = [passage(30) + "\t" + s + "\n" + passage(40) for s in shared for _ in range(3)] + [s.replace("  ", "\n ") for s in shared] + [t or "" for t in _texts()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(rows, length=51, gram=25, unit="words").collect()}
+    want = [t.decode() for t in _without_word_windows([t.encode() for t in texts], 51)]
+    assert [got[i] for i in range(len(texts))] == want
+    assert got[0] == texts[0] and got[3] != texts[3]
+
+
 def test_pieces_of_long_texts(monkeypatch):
     rnd = random.Random(2)
     text = bytes(rnd.randrange(97, 123) for _ in range(5000))

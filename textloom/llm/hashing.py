@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Bits of a membership filter; a full filter only lets more through.
-FILTER_BITS = 1 << 24
+#: A membership filter has 16 to 32 bits a member, so about one stranger in a hundred passes, and is made for at most
+#: so many members: 32 MB at most are broadcast. Callers join where make_filter gives none.
+FILTER_MEMBERS, LEAST_BITS = 1 << 23, 1 << 16
 _M = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)]
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Base of the polynomial hash, an odd number.
 BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
@@ -50,23 +54,45 @@ class PrefixHash:
         return mix((self.sums[width:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
-def places(ids: np.ndarray) -> list[np.ndarray]:
-    h = mix(ids.view(np.uint64) + _M[2])
-    return [(h & np.uint64(FILTER_BITS - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)]
-
-
-def make_filter(ids: DataFrame) -> np.ndarray:
-    """Filter over the longs in column `id`, made by aggregation: FILTER_BITS / 8 bytes whatever the input."""
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte slice."""
+    length = end - start
+    h = mix(length.astype(np.uint64) * _M[2])
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    view = np.ndarray((len(data) + 8,), np.dtype("<u8"), padded, 0, (1,))
+    masks = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+    live, j = np.arange(len(start)), 0
+    while len(live) and j < 256:
+        x = view[start[live] + j] & masks[np.minimum(length[live] - j, 8)]
+        h[live] = mix(h[live] ^ x) + _STEP
+        j += 8
+        live = live[length[live] > j]
+    for i in live.tolist():  # words of more than 256 bytes
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    h, low = mix(ids.view(np.uint64) + _M[2]), np.uint64(bits - 1)
+    return [(h & low).astype(np.int64), ((h >> np.uint64(32)) & low).astype(np.int64)]
+
+
+def make_filter(ids: DataFrame) -> np.ndarray | None:
+    """Filter over the longs in column `id`, made by aggregation and sized by their number; none for over FILTER_MEMBERS of them."""
+    n = ids.count()
+    if n > FILTER_MEMBERS:
+        return None
+    size = max(LEAST_BITS, 1 << (16 * n).bit_length())
 
     def run(batches):
         for batch in batches:
-            at = np.unique(np.concatenate(places(batch.column("id").to_numpy())))
+            at = np.unique(np.concatenate(places(batch.column("id").to_numpy(), size)))
             bit = np.uint64(1) << (at & 63).astype(np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(bit.view(np.int64))], ["word", "bits"])
 
     rows = ids.select(F.col("id").cast("long").alias("id")).where("id is not null").mapInArrow(run, "word long, bits long")
     words = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out = np.zeros(size // 64, np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
@@ -74,6 +100,6 @@ def make_filter(ids: DataFrame) -> np.ndarray:
 def in_filter(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Whether each id may be a member; true for every member."""
     hit = np.ones(len(ids), bool)
-    for at in places(ids):
+    for at in places(ids, len(bits) * 64):
         hit &= (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
     return hit

@@ -1,6 +1,6 @@
 """MinHash near-duplicates with compressed registers (HyperMinHash).
 
-A document's set holds the distinct 4-word shingles of its lower-cased words
+A document's set holds the distinct shingles (of 4 words, or `width`) of its lower-cased words
 (shorter documents: the whole sequence), as 64-bit hashes. One hash of each
 shingle picks a bucket by its leading bits and offers the rest as a value;
 a bucket's register keeps the smallest value as a leading-zero count and
@@ -29,8 +29,6 @@ ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from textloom.llm import bpe_kernel
 from textloom.llm.common import blocks, discard, id_and_text, map_text_blocks, materialize, trim
 from textloom.llm.components import components
-from textloom.llm.hashing import in_filter, make_filter, mix
+from textloom.llm.hashing import in_filter, make_filter, mix, word_hashes
 
 SHINGLE = 4
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
@@ -53,24 +51,6 @@ COLLISION = 0.169919 / (1 << MANTISSA)
 _M = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte slice."""
-    length = end - start
-    h = mix(length.astype(np.uint64) * _M[2])
-    padded = np.concatenate([data, np.zeros(16, np.uint8)])
-    view = np.ndarray((len(data) + 8,), np.dtype("<u8"), padded, 0, (1,))
-    masks = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
-    live, j = np.arange(len(start)), 0
-    while len(live) and j < 256:
-        x = view[start[live] + j] & masks[np.minimum(length[live] - j, 8)]
-        h[live] = mix(h[live] ^ x) + _M[3]
-        j += 8
-        live = live[length[live] > j]
-    for i in live.tolist():  # words of more than 256 bytes
-        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
-    return h
-
-
 class ShingleSets:
     """Distinct shingles of a block of texts: flat values in ascending order within each document, and their counts."""
 
@@ -144,11 +124,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, k1, k2 (which set), registers of every row."""
 
     def kernel(block: pa.RecordBatch) -> pa.RecordBatch:
-        sets = ShingleSets(block.column("text").cast(pa.binary()).to_pylist())
+        sets = ShingleSets(block.column("text").cast(pa.binary()).to_pylist(), width)
         k1, k2 = sets.keys()
         return pa.RecordBatch.from_arrays(
             [block.column("doc_id"), pa.array(sets.counts, pa.int64()), pa.array(k1), pa.array(k2), _binary_rows(sets.registers())], ["doc_id", "n_shingles", "k1", "k2", "registers"]
@@ -202,9 +182,12 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """rep, k1, k2, set (sorted values as bytes) of the documents with these ids, and of a few others."""
-    shared = docs.sparkSession.sparkContext.broadcast(make_filter(ids))
+    rows, bits = id_and_text(docs), make_filter(ids)
+    if bits is None:
+        rows = rows.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         for batch in batches:
@@ -212,20 +195,21 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             if at.dtype != np.int64:  # nulls
                 batch = batch.filter(pc.is_valid(batch.column("doc_id")))
                 at = batch.column("doc_id").to_numpy()
-            for _, block in blocks(batch.filter(pa.array(in_filter(shared.value, at))), "text"):
-                sets = ShingleSets(block.column("text").cast(pa.binary()).to_pylist())
+            some = batch if shared.value is None else batch.filter(pa.array(in_filter(shared.value, at)))
+            for _, block in blocks(some, "text"):
+                sets = ShingleSets(block.column("text").cast(pa.binary()).to_pylist(), width)
                 k1, k2 = sets.keys()
                 offsets = pa.py_buffer((np.concatenate([[0], np.cumsum(sets.counts)]) * 8).astype(np.int32))
                 column = pa.Array.from_buffers(pa.binary(), block.num_rows, [None, offsets, pa.py_buffer(sets.values)])
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(k1), pa.array(k2), column], ["rep", "k1", "k2", "set"])
         trim()
 
-    return id_and_text(docs).mapInArrow(run, "rep long, k1 long, k2 long, set binary")
+    return rows.mapInArrow(run, "rep long, k1 long, k2 long, set binary")
 
 
-def _exact_sets(docs: DataFrame, ids: DataFrame, classes: DataFrame) -> tuple[DataFrame, str]:
+def _exact_sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, width: int) -> tuple[DataFrame, str]:
     """rep, set of the classes whose representatives are in column `id`, written to the shared folder."""
-    keyed = _sets(docs, ids).join(ids, F.col("rep") == F.col("id"), "left_semi").join(classes.select("rep", "k1", "k2"), ["rep", "k1", "k2"], "left_semi")
+    keyed = _sets(docs, ids, width).join(ids, F.col("rep") == F.col("id"), "left_semi").join(classes.select("rep", "k1", "k2"), ["rep", "k1", "k2"], "left_semi")
     return materialize(keyed.dropDuplicates(["rep"]).select("rep", "set"), "sets")
 
 
@@ -239,10 +223,10 @@ def similar(p: np.ndarray, q: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(both) - common)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets, path = _exact_sets(docs, ids, classes)
+    sets, path = _exact_sets(docs, ids, classes, width)
 
     def run(batches):
         for batch in batches:
@@ -334,10 +318,10 @@ def _in_blocks(rows: DataFrame, group: str, block: int, exact: bool) -> DataFram
     return cut.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def link(docs: DataFrame, width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, k1, k2 of every row; k1, k2, root of every class)."""
     spark = docs.sparkSession
-    rows, _ = materialize(signatures(docs), "signatures")
+    rows, _ = materialize(signatures(docs, width), "signatures")
     whole = rows.where("doc_id is not null and n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"))
     classes, _ = materialize(whole, "classes")
     bands = band_rows(classes)
@@ -348,7 +332,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # each class with the smallest member it shares most bands with
     best = members.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
     first, first_path = materialize(_likely(best.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), classes), "pairs")
-    links = _verify(first, docs, classes)
+    links = _verify(first, docs, classes, width)
     roots = components(links)
 
     # what is still apart in some bucket: clusters of likely pairs, then all pairs of a cluster on the full sets
@@ -359,7 +343,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sized = clusters.join(sizes, "root").select(F.col("root").alias("cluster"), "n", F.col("node").alias("id"))
     nodes, nodes_path = materialize(sized.union(sizes.select("root", "n", "root")), "clusters")
     if not nodes.isEmpty():
-        sets, sets_path = _exact_sets(docs, nodes.select("id"), classes)
+        sets, sets_path = _exact_sets(docs, nodes.select("id"), classes, width)
         rest = nodes.withColumnRenamed("id", "rep").join(classes.select("rep", "registers"), "rep").join(sets, "rep")
         rest = rest.join(roots, rest["rep"] == roots["node"], "left").select("cluster", "n", "rep", F.coalesce("root", "rep").alias("root"), "registers", "set")
         more, _ = materialize(_in_blocks(rest, "cluster", 2 * BLOCK, exact=True), "links")
@@ -370,17 +354,17 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.drop("registers"), grouped
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
-    rows, classes = link(docs)
+    rows, classes = link(docs, width)
     found = rows.join(classes, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one_each(docs: DataFrame) -> DataFrame:
+def keep_one_each(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """The rows of docs that stand for their group, with all their columns; rows with a null id stay, repeated rows once."""
-    found = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    found = near_duplicates(docs, width).where("kept and doc_id is not null").select("doc_id").distinct()
     some = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return some.union(docs.where("doc_id is null"))

@@ -1,7 +1,8 @@
 """Removal of repeated passages by prefix doubling over sampled positions.
 
 A byte goes if a string of LENGTH bytes that covers it also starts at another
-place of the corpus. Prefix doubling ranks positions by strings of growing
+place of the corpus; with unit="words", a word goes if a sequence of
+`length` words that covers it does, whatever white space is between them. Prefix doubling ranks positions by strings of growing
 length and drops a position as soon as its rank is unique. Two things keep it
 small:
 
@@ -33,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.llm.common import blocks, discard, materialize, trim
-from textloom.llm.hashing import PrefixHash, in_filter, make_filter, mix
+from textloom.llm.hashing import PrefixHash, in_filter, make_filter, mix, word_hashes
 
 LENGTH, GRAM = 400, 200
+#: A passage of words, for unit="words": over 50 of them.
+PASSAGE_WORDS, PASSAGE_GRAM = 51, 25
 #: Bytes of a text that are looked at at once; longer texts are cut into overlapping pieces.
 PIECE = 1 << 20
 #: Bytes of a text that are worked on together; a longer text takes several rounds, so memory doesn't grow with it.
@@ -44,10 +47,27 @@ PART = 8 * PIECE
 _POSITION = 24
 
 
+def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that are no white space."""
+    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    edge = np.diff(np.concatenate([[0], solid.view(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def symbols(texts: list[bytes], unit: str) -> list:
+    """The texts as sequences that windows are cut from: their bytes, or a hash of each word."""
+    if unit == "bytes":
+        return texts
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    start, end = word_places(data)
+    begin = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    return np.split(word_hashes(data, start, end), np.searchsorted(start, begin[:-1]))
+
+
 class Windows:
-    """Windows of a block of texts by anchor: runs of window starts that share an anchor."""
+    """Windows of a block of sequences (bytes, or hashes of words) by anchor: runs of window starts that share an anchor."""
 
-    def __init__(self, texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
+    def __init__(self, texts: list, length: int = LENGTH, gram: int = GRAM):
         self.length = length
         width = length - gram + 1
         pieces, self.piece_doc, self.piece_at = [], [], []
@@ -57,7 +77,7 @@ class Windows:
                     pieces.append(t[at : at + PIECE + length - 1])
                     self.piece_doc.append(i)
                     self.piece_at.append(at)
-        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+        self.data = np.concatenate([np.frombuffer(p, np.uint8) if isinstance(p, bytes) else p for p in pieces] or [np.zeros(0, np.uint8)])
         self.hash = PrefixHash(self.data)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         begin = np.cumsum(sizes) - sizes
@@ -103,7 +123,7 @@ class Windows:
             self.whole = mix(self.hash.slices(start, stop - 1 + length) + self.n.astype(np.uint64))
 
 
-def _parts(texts: list[bytes], length: int, gram: int):
+def _parts(texts: list, length: int, gram: int):
     """Windows of a block of texts, those of a long text in parts of PART window starts."""
     for i, t in enumerate(texts if max(map(len, texts), default=0) > PART else []):
         for at in range(0, max(1, len(t) - length + 1), PART):
@@ -119,11 +139,11 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("text")).where(F.col("text").isNotNull())
 
 
-def _anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def _anchors(texts: DataFrame, length: int, gram: int, unit: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for _, block in blocks(batch, "text", PIECE):
-                for w in _parts(block.column("text").to_pylist(), length, gram):
+                for w in _parts(symbols(block.column("text").to_pylist(), unit), length, gram):
                     key = block.column("key").to_numpy()[w.doc]
                     yield pa.RecordBatch.from_arrays([pa.array(w.gram.view(np.int64)), pa.array(w.whole.view(np.int64)), pa.array(key), pa.array(w.lo), pa.array(w.n.astype(np.int32))], ["gram", "whole", "key", "lo", "n"])
         trim()
@@ -136,28 +156,57 @@ def _row_id(key: np.ndarray, lo: np.ndarray) -> np.ndarray:
         return mix(mix(key.view(np.uint64)) + lo.astype(np.uint64)).view(np.int64)
 
 
-def _passing(rows: DataFrame, bits) -> DataFrame:
-    """Rows whose gram may be in the filter, with the id of the row."""
+def _with_id(rows: DataFrame) -> DataFrame:
+    """gram, whole, key, lo, n with the id of the row."""
 
     def run(batches):
-        for batch in batches:
-            b = batch.filter(pa.array(in_filter(bits.value, batch.column("gram").to_numpy())))
+        for b in batches:
             id_ = pa.array(_row_id(b.column("key").to_numpy(), b.column("lo").to_numpy()))
             yield pa.RecordBatch.from_arrays([id_, *b.columns], ["id", *b.schema.names])
 
     return rows.select("gram", "whole", "key", "lo", "n").mapInArrow(run, "id long, gram long, whole long, key long, lo long, n int")
 
 
-def _edge_windows(texts: DataFrame, keys, grams, ids, length: int, gram: int) -> DataFrame:
-    """first, second (ranks of both halves), key, lo of every window of the anchors in the filters."""
+def _passing(rows: DataFrame, grams: DataFrame) -> DataFrame:
+    """Rows with one of the grams (id), and a few others where the grams are few enough for a filter."""
+    bits = make_filter(grams)
+    if bits is None:
+        return _with_id(rows.join(grams, F.col("gram") == F.col("id"), "left_semi"))
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(in_filter(keys.value, batch.column("key").to_numpy())))
+            yield batch.filter(pa.array(in_filter(shared.value, batch.column("gram").to_numpy())))
+
+    return _with_id(rows.select("gram", "whole", "key", "lo", "n").mapInArrow(run, "gram long, whole long, key long, lo long, n int"))
+
+
+def _edge_windows(texts: DataFrame, chosen: DataFrame, length: int, gram: int, unit: str) -> DataFrame:
+    """first, second (ranks of both halves), key, lo of every window of the chosen rows, and of a few others."""
+    ids, keys = make_filter(chosen.select("id")), make_filter(chosen.select(F.col("key").alias("id")))
+    if ids is None:
+        some = texts.join(chosen.groupBy(F.col("key").alias("at")).agg(F.collect_list("lo").alias("los")), F.col("key") == F.col("at")).select("key", "text", "los")
+        share = None
+    else:
+        some, share = texts, texts.sparkSession.sparkContext.broadcast((keys, ids))
+
+    def picked(w: Windows, block: pa.RecordBatch, key: np.ndarray) -> np.ndarray:
+        if not len(w.n):
+            return np.zeros(0, np.int64)
+        if share is not None:
+            return np.flatnonzero(in_filter(share.value[1], _row_id(key, w.lo)))
+        los = block.column("los").to_pylist()
+        wanted = np.concatenate([_row_id(np.full(len(x), k, np.int64), np.asarray(x, np.int64)) for k, x in zip(block.column("key").to_pylist(), los)])
+        return np.flatnonzero(np.isin(_row_id(key, w.lo), wanted))
+
+    def run(batches):
+        for batch in batches:
+            if share is not None:
+                batch = batch.filter(pa.array(in_filter(share.value[0], batch.column("key").to_numpy())))
             for _, block in blocks(batch, "text", PIECE):
-                for w in _parts(block.column("text").to_pylist(), length, gram):
+                for w in _parts(symbols(block.column("text").to_pylist(), unit), length, gram):
                     key = block.column("key").to_numpy()[w.doc]
-                    hit = np.flatnonzero(in_filter(grams.value, w.gram.view(np.int64)) & in_filter(ids.value, _row_id(key, w.lo))) if len(w.n) else np.zeros(0, np.int64)
+                    hit = picked(w, block, key)
                     for part in np.array_split(hit, 1 + len(hit) // 4096):
                         n = w.n[part]
                         step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -170,23 +219,20 @@ def _edge_windows(texts: DataFrame, keys, grams, ids, length: int, gram: int) ->
                         )
         trim()
 
-    return texts.mapInArrow(run, "first long, second int, key long, lo long")
+    return some.mapInArrow(run, "first long, second int, key long, lo long")
 
 
-def unique_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, str]:
+def unique_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, unit: str = "bytes") -> tuple[DataFrame, str]:
     """(key, spans: ranges (first window start, number) of a text's windows that occur nowhere else, with negative numbers those that do; its folder)."""
     spark = docs.sparkSession
-    share = spark.sparkContext.broadcast
     texts = _keyed(docs, text_col)
-    rows, rows_path = materialize(_anchors(texts, length, gram), "anchors")
+    rows, rows_path = materialize(_anchors(texts, length, gram, unit), "anchors")
     ranked = rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("whole").alias("a"), F.max("whole").alias("z"), F.min(F.struct("key", "lo", "n")).alias("row")).where("c = 1 or a <> z")
     ranked, ranked_path = materialize(ranked.select("gram", (F.col("c") == 1).alias("alone"), "row.*"), "ranks")
-    grams = share(make_filter(ranked.where("not alone").select(F.col("gram").alias("id"))))
-    chosen = _passing(rows, grams).groupBy("gram", "whole").agg(F.count("*").alias("c"), F.min(F.struct("id", "key", "lo", "n")).alias("row")).select("c", "row.*")
+    chosen = _passing(rows, ranked.where("not alone").select(F.col("gram").alias("id"))).groupBy("gram", "whole").agg(F.count("*").alias("c"), F.min(F.struct("id", "key", "lo", "n")).alias("row")).select("c", "row.*")
     chosen, chosen_path = materialize(chosen, "chosen")
-    ids, keys = share(make_filter(chosen.select("id"))), share(make_filter(chosen.select(F.col("key").alias("id"))))
     discard(spark, rows_path)
-    edges = _edge_windows(texts, keys, grams, ids, length, gram).groupBy("first", "second").agg(F.count("*").alias("c"), F.min(F.struct("key", "lo")).alias("row")).where("c = 1")
+    edges = _edge_windows(texts, chosen, length, gram, unit).groupBy("first", "second").agg(F.count("*").alias("c"), F.min(F.struct("key", "lo")).alias("row")).where("c = 1")
     # a chosen row that stands for several has no unique windows, though it took part once: negative numbers
     stands = chosen.where("c > 1").select("key", "lo", -F.col("n"))
     singles = ranked.where("alone").select("key", "lo", "n").union(edges.select("row.key", "row.lo", F.lit(1))).union(stands)
@@ -216,9 +262,20 @@ def removed_spans(size: int, lo: np.ndarray, n: np.ndarray, length: int = LENGTH
     return start[apart], end[np.append(apart[1:], True)]
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def removed_bytes(text: bytes, lo: np.ndarray, n: np.ndarray, length: int, unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the maximal runs of bytes that go; of words, from the first byte of the first to the last of the last."""
+    if unit == "bytes":
+        return removed_spans(len(text), lo, n, length)
+    if len(text) < 2 * length - 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first, last = word_places(np.frombuffer(text, np.uint8))
+    start, end = removed_spans(len(first), lo, n, length)
+    return first[start], last[end - 1]
+
+
+def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, unit: str = "bytes") -> DataFrame:
     """All rows and columns of docs with `removal`: struct of kept (remaining bytes), n_bytes, n_removed, n_spans."""
-    spans, _ = unique_ranges(docs, text_col, length, gram)
+    spans, _ = unique_ranges(docs, text_col, length, gram, unit)
 
     @F.arrow_udf("struct<kept: binary, n_bytes: long, n_removed: long, n_spans: long>")
     def cut(text: pa.Array, ranges: pa.Array) -> pa.Array:
@@ -227,7 +284,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
             r = r.values if r.is_valid else None
             lo = r.field("lo").to_numpy() if r is not None else np.zeros(0, np.int64)
             n = r.field("n").to_numpy() if r is not None else np.zeros(0, np.int64)
-            start, end = removed_spans(len(t), lo, n, length)
+            start, end = removed_bytes(t, lo, n, length, unit)
             kept = b"".join(t[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(t)]))
             out.append((kept, len(t), len(t) - len(kept), len(start)))
         kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
@@ -239,9 +296,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     return joined.select("row", cut("text", "spans").alias("removal"))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """All rows of docs with the repeated bytes cut from text and n_chars made to fit; halves of characters at a cut go too."""
-    rows = remove_repeats(docs)
+def without_repeats(docs: DataFrame, **how) -> DataFrame:
+    """All rows of docs with the repeated passages cut from text and n_chars made to fit; halves of characters at a cut go too. how: length, gram, unit."""
+    rows = remove_repeats(docs, **how)
     text = F.when(F.col("row.text").isNotNull(), _readable("removal.kept"))
     new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return rows.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
@@ -258,6 +315,15 @@ def _readable(kept: str) -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and n_passage_bytes (those in passages of over 50 words that occur elsewhere too) of every row."""
+    passages = passage_bytes(docs.select("text"))
     rows = remove_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return rows.select("row.doc_id", "removal.n_bytes", "removal.n_removed", "removal.n_spans", F.sha2("removal.kept", 256).alias("kept_sha256"))
+    found = rows.select("row.doc_id", F.xxhash64("row.text").alias("key"), "removal.n_bytes", "removal.n_removed", "removal.n_spans", F.sha2("removal.kept", 256).alias("kept_sha256"))
+    return found.join(passages, "key", "left").select(*found.columns[:1], *found.columns[2:], F.coalesce("n_passage_bytes", F.lit(0).cast("long")).alias("n_passage_bytes"))
+
+
+def passage_bytes(docs: DataFrame) -> DataFrame:
+    """key (hash of the text), n_passage_bytes of the texts with passages of over 50 words that occur elsewhere too, written to the shared folder."""
+    cut = remove_repeats(docs, length=PASSAGE_WORDS, gram=PASSAGE_GRAM, unit="words").where("removal.n_removed > 0")
+    found = cut.groupBy(F.xxhash64("row.text").alias("key")).agg(F.max("removal.n_removed").alias("n_passage_bytes"))
+    return materialize(found, "passages")[0]
