@@ -24,13 +24,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return near_dedup.keep_one_each(docs)
+    """One document of each group of near-duplicates by shingles of five words."""
+    return near_dedup.keep_one_each(docs, width=5)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that occur elsewhere too."""
-    return suffix_dedup.without_repeats(docs)
+    """Documents without the passages of over 50 words that occur elsewhere too."""
+    return suffix_dedup.without_repeats(docs, length=suffix_dedup.PASSAGE_WORDS, gram=suffix_dedup.PASSAGE_GRAM, unit="words")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
