@@ -1,10 +1,10 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from textloom.functions import spans as S
 from textloom.operators import bootstrap as B, model_spans as M
-from textloom.types import SPANS
 
 TOKENS = "array<struct<start: int, end: int, value: string, label: string, score: double>>"
 
@@ -47,28 +47,6 @@ def test_align_bio(spark):
     assert got == {i: (c[3], c[4]) for i, c in enumerate(cases)}
 
 
-def _merge(spark, text, base, cand):
-    row = spark.createDataFrame([(text, base, cand)], f"t string, b {SPANS}, c {SPANS}").select(M.merge_candidates(F.col("t"), F.col("b"), F.col("c")).alias("m")).first()["m"]
-    return None if row is None else [(s["start"], s["end"], s["type"], s["reason"]) for s in row]
-
-
-def test_merge_candidates(spark):
-    text = "Анна Белова, номер 4509 123456, Омск Лесная"
-    base = [(19, 30, "PASSPORT", 0.91, "grouped"), (32, 43, "LOCATION", 0.9, "rule")]
-    cand = [(0, 11, "PERSON", 0.6, "x"), (0, 11, "PERSON", 0.8, "y"), (19, 30, "DRIVER_LICENSE", 0.7, "z"), (32, 36, "CITY", 0.7, "z")]
-    assert _merge(spark, text, base, cand) == [(0, 11, "PERSON", "ner-person"), (19, 30, "DRIVER_LICENSE", "ner-document-kind"), (32, 36, "LOCATION", "rule"), (37, 43, "LOCATION", "rule")]
-    assert _merge(spark, text, base, [(0, 99, "PERSON", 0.6, "x")]) is None
-    assert _merge(spark, text, base, [(0, 2, "NOTHING", 0.6, "x")]) is None
-    assert _merge(spark, "паспорт 4509 123456", [(8, 19, "PASSPORT", 0.9, "r")], [(8, 19, "DRIVER_LICENSE", 0.7, "z")]) == [(8, 19, "PASSPORT", "r")]
-
-
-def test_tenant_spans(spark):
-    docs = spark.createDataFrame([(1, "a", "Дело K-17 и k-20"), (2, "b", "K-17"), (3, "c", "K-17"), (4, "d", None)], "id int, system string, text string")
-    rules = spark.createDataFrame([("a", [("CASE_ID", "k-[0-9]+")]), ("b", [("CASE_ID", "[0-9]*")]), ("d", [("CASE_ID", "x")])], "system string, extra_rules array<struct<type: string, pattern: string>>")
-    got = {r["id"]: None if r["custom"] is None else [(s["start"], s["end"], s["type"]) for s in r["custom"]] for r in M.tenant_spans(docs, rules).collect()}
-    assert got[1] == [(5, 9, "CASE_ID"), (12, 16, "CASE_ID")] and got[2] is None and got[3] == []
-
-
 def test_bootstrap_is_stable_and_paired(spark):
     rows = [(i, s, int(i % 3 > 0 or s == "b"), int(i % 5 == 0), int(i % 3 == 0 and s == "a")) for i in range(300) for s in "ab"]
     cases = spark.createDataFrame(rows, "case_id int, system string, tp int, fp int, fn int")
@@ -77,24 +55,58 @@ def test_bootstrap_is_stable_and_paired(spark):
     assert 0.02 < one["a"][1] - one["a"][0] < 0.15 and one["a"][0] < 2 * 200 / (2 * 200 + 60 + 100) < one["a"][1]
 
 
-def test_request_protocol_as_a_stream(spark, tmp_path):
+def _mask(text):
+    token = "⟦PD:EMAIL:0123456789abcdef⟧"
+    return text.replace("ab", token), [{"start": 0, "end": len(token), "original": "ab", "replacement": token}]
+
+
+def _stream(spark, tmp_path, batches):
+    """Outcomes by seq of requests (key, seq, second, operation, payload) that arrive batch by batch."""
     from textloom.streaming.requests import keyed_requests
 
-    mask = lambda t: (t.replace("ab", "⟦PD:EMAIL:0123456789abcdef⟧"), [{"start": 0, "end": 27, "original": "ab", "replacement": "⟦PD:EMAIL:0123456789abcdef⟧"}])
-    masked, done = mask("ab c")
-    seen = [
-        ("k", 1, 0, "unmask", "ab c", "mapping_expired"), ("k", 2, 1, "mask", "ab c", "created"), ("k", 3, 2, "mask", "ab c", "repeated"), ("k", 4, 3, "mask", "ab d", "payload_conflict"),
-        ("k", 5, 4, "process", masked, "restored"), ("k", 6, 5, "unmask", "x " + done[0]["replacement"], "restored"), ("k", 7, 6, "unmask", "⟦PD:EMAIL:ffffffffffffffff⟧", "unknown_token"),
-        ("k", 8, 70, "unmask", masked, "mapping_expired"), ("j", 9, 3, "process", "ab c", "created"),
-    ]
     src = tmp_path / "in"
     src.mkdir()
-    for part, rows in enumerate((seen[:4], seen[4:])):
-        lines = [json.dumps({"system": "s", "payload_id": k, "seq": n, "ts": f"2024-01-01T00:{at // 60:02d}:{at % 60:02d}Z", "operation": op, "payload": p, "mode": "token", "masked": mask(p)[0], "replacements": done}) for k, n, at, op, p, _ in rows]
+    for part, rows in enumerate(batches):
+        lines = [json.dumps({"system": "s", "payload_id": k, "seq": n, "ts": f"2024-01-01T00:{at // 60:02d}:{at % 60:02d}Z", "operation": op, "payload": p, "mode": "token", "masked": _mask(p)[0], "replacements": _mask(p)[1]}) for k, n, at, op, p in rows]
         (src / f"{part}.json").write_text("\n".join(lines))
+        os.utime(src / f"{part}.json", (1_700_000_000 + 60 * part,) * 2)  # the file source takes older files first
     schema = f"system string, payload_id string, seq long, ts timestamp, operation string, payload string, mode string, masked string, replacements {S.REPLACEMENTS}"
     stream = keyed_requests(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src)), ttl_seconds=60)
     stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = {r["seq"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    return {r["seq"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+
+def test_request_protocol_as_a_stream(spark, tmp_path):
+    masked, done = _mask("ab c")
+    seen = [
+        ("k", 1, 0, "unmask", "ab c", "mapping_expired"), ("k", 2, 1, "mask", "ab c", "created"), ("k", 3, 2, "mask", "ab c", "repeated"), ("k", 4, 3, "mask", "ab d", "payload_conflict"),
+        ("k", 5, 4, "process", masked, "restored"), ("k", 6, 5, "unmask", "x " + done[0]["replacement"], "restored"), ("k", 7, 6, "unmask", "⟦PD:EMAIL:ffffffffffffffff⟧", "unknown_token"),
+        ("k", 8, 70, "unmask", masked, "mapping_expired"), ("j", 9, 3, "process", "ab c", "created"),
+    ]
+    got = _stream(spark, tmp_path, [[x[:5] for x in seen[:4]], [x[:5] for x in seen[4:]]])
     assert {n: r["outcome"] for n, r in got.items()} == {n: want for _, n, _, _, _, want in seen}
     assert got[5]["result"] == "ab c" and got[6]["result"] == "x ab" and got[2]["result"] == got[3]["result"] == masked
+
+
+def test_requests_are_answered_as_they_arrive(spark, tmp_path):
+    """The earlier write comes in the later batch: the record that is there answers it."""
+    got = _stream(spark, tmp_path, [[("k", 2, 5, "mask", "ab d"), ("k", 3, 6, "mask", "ab d")], [("k", 1, 1, "mask", "ab c"), ("k", 4, 7, "mask", "ab d")]])
+    assert {n: r["outcome"] for n, r in got.items()} == {2: "created", 3: "repeated", 1: "payload_conflict", 4: "repeated"}
+
+
+def test_metric_windows_first_of_key_and_capture(spark, tmp_path):
+    from textloom.sources import tables
+    from textloom.streaming import windows
+
+    rows = spark.sql("select timestamp'2024-01-01 00:10:00' + make_interval(0,0,0,0,0,cast(id as int)) at, concat('k', id % 2) k, id from range(4)")
+    tables.write(rows, str(tmp_path / "json"), "json")
+    schema = "at timestamp, k string, id long"
+    assert tables.json_lines(spark, str(tmp_path / "json"), schema).count() == 4
+    tables.write(rows.select("k", "id"), str(tmp_path / "csv"), "csv")
+    assert sorted(r["id"] for r in tables.csv(spark, str(tmp_path / "csv"), "k string, id long").collect()) == [0, 1, 2, 3]
+    stream = lambda: spark.readStream.schema(schema).json(str(tmp_path / "json"))
+    windows.capture(stream(), str(tmp_path / "cap"), str(tmp_path / "cp1")).awaitTermination()
+    assert spark.read.schema(schema).json(str(tmp_path / "cap")).count() == 4
+    windows.capture(windows.first_of_key(stream(), "at", ["k"]), str(tmp_path / "first"), str(tmp_path / "cp2")).awaitTermination()
+    assert sorted(r["k"] for r in spark.read.schema(schema).json(str(tmp_path / "first")).collect()) == ["k0", "k1"]
+    assert sorted((r["k"], r["n"]) for r in windows.metric_windows(rows, "at", "k").collect()) == [("k0", 2), ("k1", 2)]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import spans as S
 from textloom.operators import evaluate as E, protocol as P
-from textloom.operators.recognizers import detect
+from textloom.rules.engine import detect
 
 CASES = [
     ("😊 почта a.b@mail.example.com, тел. +7 (999) 123-45-67; ИНН 500100732259", [("EMAIL", "a.b@mail.example.com"), ("PHONE", "+7 (999) 123-45-67"), ("INN", "500100732259")]),

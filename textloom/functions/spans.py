@@ -87,7 +87,9 @@ def replace_spans(text: Column, spans: Column, mode: str, key: bytes = b"", reco
             return shape_mask(value(s))
         if mode == "token":
             name = F.concat_ws("\x00", record if record is not None else F.lit(""), s["type"], value(s))
-            return F.concat(F.lit("⟦PD:"), s["type"], F.lit(":"), F.substring(hmac_sha256(key, name), 1, 16), F.lit("⟧"))
+            token = lambda n: F.concat(F.lit("⟦PD:"), s["type"], F.lit(":"), F.substring(hmac_sha256(key, n), 1, 16), F.lit("⟧"))
+            # a token must not stand in the text already
+            return F.when(F.contains(text, token(name)), token(F.concat(name, F.lit("\x00again")))).otherwise(token(name))
         return synthetic(s["type"], value(s), F.array_position(identity, F.concat_ws("\x00", s["type"], value(s))).cast("int"))
 
     pairs = F.transform(spans, lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"), value(s).alias("v"), new(s).alias("r")))
@@ -124,11 +126,17 @@ def restore_tokens(reply: Column, replacements: Column, limit: int | None = None
     gaps = F.split(reply, TOKEN, -1)
     out = F.array_join(F.flatten(F.zip_with(gaps, values, lambda g, v: F.array(g, F.coalesce(v, F.lit(""))))), "")
     ok = (F.size(tokens) > 0) & F.forall(values, lambda v: v.isNotNull())
-    if limit is not None:
-        ok = ok & (F.length(out) <= limit)
+    if limit is not None:  # the length is known before anything is built
+        size = F.aggregate(gaps, F.lit(0).cast("long"), lambda n, g: n + F.length(g)) + F.aggregate(values, F.lit(0).cast("long"), lambda n, v: n + F.coalesce(F.length(v), F.lit(0)))
+        ok = ok & (size <= limit)
     return F.when(ok, out)
 
 
+def token_estimate(text: Column) -> Column:
+    """About how many tokens a text has: a quarter of its characters."""
+    return F.length(text) / 4
+
+
 def luhn_valid(value: Column) -> Column:
     """13 to 19 digits, not all equal, with a right check digit."""
     digits = F.regexp_replace(value, "[^0-9]", "")

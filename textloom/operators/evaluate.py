@@ -48,9 +48,16 @@ def by_type(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def covered_characters(spans: DataFrame, texts: DataFrame) -> DataFrame:
     """case_id, type, pos: the letters and numbers that spans cover, once each."""
-    joined = spans.join(texts.select("case_id", "text"), "case_id")
-    each = joined.select("case_id", "type", "text", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"))
-    return each.where(F.substring(F.col("text"), F.col("pos") + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]")).select("case_id", "type", "pos").distinct()
+    return characters(spans, texts).select("case_id", "type", "pos").distinct()
+
+
+def characters(spans: DataFrame, texts: DataFrame, alnum: bool = True) -> DataFrame:
+    """The columns of spans and pos: one row for each letter and number (or every character) of each span. Only the value, not the text, is carried along."""
+    value = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
+    joined = spans.join(texts.select("case_id", "text"), "case_id").select(*spans.columns, value.alias("_value")).where("length(_value) > 0")
+    each = joined.select(*spans.columns, "_value", F.explode(F.sequence(F.lit(0), F.length("_value") - 1)).alias("_at"))
+    kept = each.where(F.substring(F.col("_value"), F.col("_at") + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]")) if alnum else each
+    return kept.withColumn("pos", (F.col("start") + F.col("_at")).cast("int")).drop("_value", "_at")
 
 
 def islands(rows: DataFrame, partition: list[str], start: str, end: str, gap: int = 0) -> DataFrame:

@@ -1,14 +1,13 @@
-"""Spans of a model: words, labels to spans, merging with the spans of the rules. Built-in expressions only.
+"""Spans of a model: words, labels to spans. Built-in expressions only.
 
 Model output arrives as columns, so any analyzer (a table, a pandas function) can feed these operators.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
-from textloom.functions.spans import match_spans, resolve
-from textloom.types import SPANS, TYPES
+from textloom.functions.spans import match_spans
 
 #: Punctuation that stands alone, marks that may join two words of a label, labels that are never joined.
 _ALONE = r"(){}\[\]«»\"“”‘’',;:!?"
@@ -116,94 +115,3 @@ def align_bio(text: Column, tokens: Column, labels: Column, types: list[str]) ->
     run = F.aggregate(pairs, begin, step, lambda a: state(a["at"], a["last"], a["out"], F.coalesce(a["error"], F.when(~F.substring(text, a["at"] + 1, F.length(text)).rlike(_BLANK), "unaligned_text_suffix"))))
     error = F.when(F.size(tokens) != F.size(labels), "token_label_length_mismatch").otherwise(run["error"])
     return F.struct(F.when(error.isNull(), F.array_distinct(run["out"])).alias("spans"), error.alias("error"))
-
-
-def valid_candidates(text: Column, candidates: Column, types: list[str]) -> Column:
-    """All candidates lie in the text, have a known type, a score from 0 to 1 and at most the type's length; and there are not too many."""
-
-    def one(s: Column) -> Column:
-        longest = F.lit(LIMIT)
-        for kind, n in LIMITS.items():
-            longest = F.when(s["type"] == kind, n).otherwise(longest)
-        ok = (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= F.length(text)) & s["type"].isin(types) & s["confidence"].between(0.0, 1.0) & (s["end"] - s["start"] <= longest)
-        return F.coalesce(ok, F.lit(False))
-
-    return (F.size(candidates) <= F.least(F.lit(100_000), F.greatest(F.lit(1024), F.length(text)))) & F.forall(candidates, one)
-
-
-def _plain(s: Column, **new: Column) -> Column:
-    return F.struct(*[new.get(c, s[c]).alias(c) for c in ("start", "end", "type", "confidence", "reason")])
-
-
-def _fresh(base: Column, candidates: Column) -> Column:
-    """Candidates whose type and place no base span has, of equal ones the surest, with the reason their type gives."""
-    row = lambda s, own: F.struct(s["type"].alias("type"), s["start"].alias("start"), s["end"].alias("end"), F.lit(own).alias("own"), (-s["confidence"]).alias("c"))
-    ordered = F.array_sort(F.concat(F.transform(base, lambda s: row(s, 0)), F.transform(candidates, lambda s: row(s, 1))))
-    same = lambda x, y: F.coalesce((x["type"] == y["type"]) & (x["start"] == y["start"]) & (x["end"] == y["end"]), F.lit(False))
-    new = F.filter(ordered, lambda x, i: (x["own"] == 1) & ~same(x, F.get(ordered, i - 1)))
-    reason = lambda x: F.when(x["type"] == "PERSON", "ner-person").when(x["type"] == "LOCATION", "ner-location").otherwise("ner-structured")
-    return F.transform(new, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["type"].alias("type"), (-x["c"]).alias("confidence"), reason(x).alias("reason"))).cast(SPANS)
-
-
-def _family(kind: Column) -> Column:
-    return F.when(kind.isin(ADDRESS_PARTS), "ADDRESS").otherwise(kind)
-
-
-def keep_boundaries(text: Column, spans: Column, parts: Column) -> Column:
-    """Spans cut at the model's parts inside them where all are whole words of the same family and apart from each other.
-
-    Names, holders, whole addresses, IP addresses and tenants' own spans stay whole; what lies between parts stays if it has a letter or number.
-    """
-    letter = lambda at: F.substring(text, at + 1, F.lit(1)).rlike(r"^[\p{L}\p{N}\p{M}]$")
-    edge = lambda at: (at == 0) | (at == F.length(text)) | ~(letter(at - 1) & letter(at))
-
-    def cut(s: Column) -> Column:
-        inside = F.array_sort(F.array_distinct(F.transform(F.filter(parts, lambda p: (p["start"] >= s["start"]) & (p["end"] <= s["end"]) & (p["end"] - p["start"] < s["end"] - s["start"]) & (_family(p["type"]) == _family(s["type"]))), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))))
-        whole = F.forall(F.transform(inside, lambda p, i: edge(p["start"]) & edge(p["end"]) & F.coalesce(F.get(inside, i - 1)["end"] <= p["start"], F.lit(True))), lambda ok: ok)
-        starts, ends = F.concat(F.array(s["start"]), F.transform(inside, lambda p: p["end"])), F.concat(F.transform(inside, lambda p: p["start"]), F.array(s["end"]))
-        gaps = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end"))), lambda g: (g["start"] < g["end"]) & F.substring(text, g["start"] + 1, g["end"] - g["start"]).rlike(r"[\p{L}\p{N}]"))
-
-        def trimmed(g: Column) -> Column:
-            value = F.substring(text, g["start"] + 1, g["end"] - g["start"])
-            left, right = F.length(F.regexp_extract(value, rf"^[{_SPACE}]*", 0)), F.length(F.regexp_extract(value, rf"[{_SPACE}]*$", 0))
-            return F.struct((g["start"] + left).cast("int").alias("start"), (g["end"] - right).cast("int").alias("end"))
-
-        pieces = F.array_sort(F.concat(inside, F.transform(gaps, trimmed)))
-        keep = s["type"].isin(ATOMIC) | (s["reason"] == "custom-rule") | (F.size(inside) == 0) | ~whole
-        return F.when(keep, F.array(_plain(s))).otherwise(F.transform(pieces, lambda p: _plain(s, start=p["start"], end=p["end"])))
-
-    return F.flatten(F.transform(spans, cut))
-
-
-def merge_candidates(text: Column, base: Column, candidates: Column, types: list[str] = TYPES) -> Column:
-    """Rule spans and model candidates as one resolved list; null if any candidate is malformed, so callers fail closed.
-
-    A number that rules call a passport and only the model calls a licence becomes a licence, unless a passport is named before it.
-    """
-    fresh = _fresh(base, candidates)
-    named = lambda s: F.substring(text, F.greatest(s["start"] - 159, F.lit(1)), F.least(s["start"], F.lit(160))).rlike(r"(?iu)(?<!\p{L})паспорт(?:а|у|ом|е)?(?!\p{L})[^;\n!?]*$")
-    also = lambda s, kind: F.exists(fresh, lambda m: (m["start"] == s["start"]) & (m["end"] == s["end"]) & (m["type"] == kind))
-
-    def kind(s: Column) -> Column:
-        licence = (s["type"] == "PASSPORT") & (s["reason"] != "custom-rule") & also(s, "DRIVER_LICENSE") & ~also(s, "PASSPORT") & ~named(s)
-        return F.when(licence, _plain(s, type=F.lit("DRIVER_LICENSE"), reason=F.lit("ner-document-kind"))).otherwise(_plain(s))
-
-    merged = keep_boundaries(text, resolve(F.concat(F.transform(base, kind).cast(SPANS), fresh)), fresh)
-    return F.when(valid_candidates(text, candidates, types), merged.cast(SPANS))
-
-
-def tenant_spans(docs: DataFrame, policies: DataFrame, limit: int = 32, longest: int = 4096) -> DataFrame:
-    """docs (with system and text) and `custom`: spans of the rules (type, pattern) of each document's system.
-
-    custom is null where the rules must not be used: over `limit` rules, an empty match, or one over `longest`. Case is ignored.
-    """
-    joined = docs.join(policies.select("system", "extra_rules"), "system", "left")
-    rules = F.coalesce("extra_rules", F.array().cast("array<struct<type: string, pattern: string>>"))
-    hits = lambda r: F.regexp_extract_all(F.col("text"), F.concat(F.lit("(?iu)"), r["pattern"]), F.lit(0))
-    bad = (F.size(rules) > limit) | F.exists(rules, lambda r: F.exists(hits(r), lambda v: (F.length(v) == 0) | (F.length(v) > longest)))
-
-    def found(r: Column) -> Column:
-        spans = match_spans(F.col("text"), F.concat(F.lit("(?iu)()("), r["pattern"], F.lit(")")))
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), r["type"].alias("type"), F.lit(1.0).alias("confidence"), F.lit("custom-rule").alias("reason")))
-
-    return joined.withColumn("custom", F.when(~bad, F.flatten(F.transform(rules, found)).cast(SPANS))).drop("extra_rules")

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
+
+from textloom.types import MODES
 
 
 def select_by_policy(spans: Column, types: Column, min_types: Column, required: Column, masking: Column) -> Column:
@@ -26,25 +32,95 @@ def micros(at: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({at} as timestamp_ntz))")
 
 
-def with_expiry(requests: DataFrame, key: str, at: str, ttl_seconds: int) -> DataFrame:
+def _in_order(requests: DataFrame, key: str, at: str, order: str, new: str, fold: Callable) -> DataFrame:
+    """requests with the columns `new` that fold gives row by row in the order of each key.
+
+    Rows are sorted by key and time and pass through batch by batch, with the state of one key only: a hot key takes time,
+    not memory. fold(state or None, microseconds) gives the next state and the row's values.
+    """
+    hidden = requests.withColumn("_k", F.col(key).cast("string")).withColumn("_t", micros(at))
+    names, own = [c.split()[0] for c in new.split(",")], requests.columns
+    schema = StructType([*requests.schema.fields, *StructType.fromDDL(new).fields])
+
+    def run(batches):
+        seen, state = None, None
+        for batch in batches:
+            out = []
+            for k, t in zip(batch.column("_k").to_pylist(), batch.column("_t").to_pylist()):
+                if k != seen:
+                    seen, state = k, None
+                state, values = fold(state, t)
+                out.append(values)
+            plain = batch.select(own)
+            columns = [pa.array(list(c)) for c in zip(*out)] or [pa.array([])] * len(names)
+            if out:
+                yield pa.RecordBatch.from_arrays([*plain.columns, *columns], [*plain.schema.names, *names])
+
+    return hidden.where("_k is not null and _t is not null").repartition("_k").sortWithinPartitions("_k", "_t", order).mapInArrow(run, schema)
+
+
+def opened_at(requests: DataFrame, key: str, at: str, order: str, seconds: float, limit: int | None = None) -> DataFrame:
+    """requests with `opened` (microseconds) of the window each falls into, its place `n` in it, and `accepted`: n is at most limit.
+
+    A key's window opens at its first request, lasts `seconds` and isn't extended; the next request after it opens another.
+    """
+    width = int(seconds * 1_000_000)
+
+    def fold(state, t):
+        opened, n = state if state and t < state[0] + width else (t, 0)
+        return (opened, n + 1), (opened, n + 1, limit is None or n < limit)
+
+    return _in_order(requests, key, at, order, "opened long, n long, accepted boolean", fold)
+
+
+def with_expiry(requests: DataFrame, key: str, at: str, ttl_seconds: int, order: str | None = None) -> DataFrame:
     """key, opened (microseconds), n: the lives of each key's records. A life lasts ttl_seconds from its first write, later writes don't extend it."""
-    times = requests.groupBy(key).agg(F.array_sort(F.collect_list(micros(at))).alias("t"))
-    empty = F.array().cast("array<struct<opened: long, n: long>>")
+    return opened_at(requests, key, at, order or at, ttl_seconds).groupBy(key, "opened").agg(F.count("*").alias("n"))
+
+
+def token_bucket(requests: DataFrame, key: str, at: str, order: str, rate: float, capacity: float | None = None) -> DataFrame:
+    """requests with `accepted` and `balance` left: a key's bucket holds `capacity` (rate) tokens at most and gains `rate` a second."""
+    most = float(capacity or rate)
+
+    def fold(state, t):
+        left = most if state is None else min(most, state[0] + (t - state[1]) / 1_000_000 * rate)
+        ok = left >= 1
+        left -= ok
+        return (left, t), (ok, left)
+
+    return _in_order(requests, key, at, order, "accepted boolean, balance double", fold)
+
+
+def rate_limited(requests: DataFrame, key: str, at: str, order: str, seconds: float, limit: int) -> DataFrame:
+    """requests with `accepted`: at most `limit` in each window of a key; a window opens at the first request after the last one's end."""
+    return opened_at(requests, key, at, order, seconds, limit)
+
+
+def within_capacity(requests: DataFrame, key: list[str], order: list[str], most: int) -> DataFrame:
+    """requests (with outcome of first_writers) where keys beyond the first `most` are vault_full; existing records stay. Order is numbered range by range, in no single task."""
+    from textloom.operators.reports import numbered
+
+    full = numbered(requests.where("outcome = 'created'").select(*key, *order), order, "_rank").where(F.col("_rank") > most).select(*key, F.lit(True).alias("_full"))
+    return requests.join(full, key, "left").withColumn("outcome", F.when(F.col("_full"), "vault_full").otherwise(F.col("outcome"))).drop("_full")
 
-    def step(acc: Column, t: Column) -> Column:
-        last = F.element_at(acc, -1)
-        inside = (F.size(acc) > 0) & (t < last["opened"] + ttl_seconds * 1_000_000)
-        grown = F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.struct(last["opened"].alias("opened"), (last["n"] + 1).alias("n")))
-        return F.when(inside, grown).otherwise(F.array_append(acc, F.struct(t.alias("opened"), F.lit(1).cast("long").alias("n"))))
 
-    acc = F.when(F.size("t") > 0, F.aggregate("t", empty, lambda a, t: F.when(F.size(a) == 0, F.array(F.struct(t.alias("opened"), F.lit(1).cast("long").alias("n")))).otherwise(step(a, t))))
-    return times.select(key, F.explode(acc).alias("x")).select(key, F.col("x.opened").alias("opened"), "x.n")
+def authorize(requests: DataFrame, policies: DataFrame) -> DataFrame:
+    """requests (system, api_key) with `error`: access_denied for an unknown or disabled system, unauthorized for a wrong key. Only hashes of keys are compared."""
+    known = policies.select("system", "enabled", "api_key_hash")
+    joined = requests.join(known, "system", "left")
+    allowed, right = F.coalesce("enabled", F.lit(False)), F.coalesce(F.sha2("api_key", 256) == F.col("api_key_hash"), F.lit(False))
+    return joined.withColumn("error", F.when(~allowed, "access_denied").when(~right, "unauthorized")).drop("enabled", "api_key_hash")
 
 
-def rate_limited(requests: DataFrame, key: str, at: str, order: str, unit: str, limit: int) -> DataFrame:
-    """Requests with `accepted`: the first `limit` of each key in each calendar unit."""
-    w = Window.partitionBy(key, F.date_trunc(unit, F.col(at))).orderBy(at, order)
-    return requests.withColumn("accepted", F.row_number().over(w) <= limit)
+def request_errors(requests: DataFrame, most: int = 2_000_000, modes: tuple[str, ...] = MODES) -> DataFrame:
+    """requests (error, accepted, payload as bytes, mode, allowed_modes) with the first error in order: the one given, rate_limited, too_large, invalid_unicode, invalid_mode."""
+    text = F.col("payload")
+    size = F.when(F.is_valid_utf8(text.cast("string")), F.length(text.cast("string")))
+    allowed = F.when(F.size("allowed_modes") > 0, F.col("allowed_modes")).otherwise(F.array(*map(F.lit, modes)))
+    error = F.coalesce(
+        F.col("error"), F.when(~F.coalesce("accepted", F.lit(True)), "rate_limited"), F.when(size > most, "too_large"), F.when(size.isNull(), "invalid_unicode"), F.when(F.col("mode").isNotNull() & ~F.array_contains(allowed, F.col("mode")), "invalid_mode")
+    )
+    return requests.withColumn("error", error)
 
 
 def chunks(docs: DataFrame, size: int = 16000, overlap: int = 256) -> DataFrame:

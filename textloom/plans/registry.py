@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions import spans as S
-from textloom.operators import evaluate as E, protocol as P
+from textloom.operators import evaluate as E, model_spans as M, protocol as P, reports as R
 from textloom.operators.bootstrap import intervals
-from textloom.operators.recognizers import RULES, detect, every_rule
+from textloom.plans import cases, evaluation
+from textloom.rules.engine import detect, tenant_spans
+from textloom.rules.merge import merged
 from textloom.sources.tables import parquet
+from textloom.streaming import windows
+from textloom.types import SPANS
 
-_FORMAT = tuple(r for r in RULES if r.reason in ("format", "ip-address-format", "international-phone-format", "luhn-checksum"))
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 _EMAIL = r"[a-z0-9._+-]{1,64}@[a-z0-9-]+(?:\.[a-z0-9-]+){1,8}"
@@ -32,17 +36,34 @@ def _docs(spark, sf_dir):
     return parquet(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def _spans(spark, sf_dir) -> DataFrame:
-    return detect(_docs(spark, sf_dir)).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+#: Types of the tables' own texts, which SQL finds too.
+_FORMATS = ("EMAIL", "IP_ADDRESS", "CARD", "PHONE")
+_VALUE = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+
+
+def _values(spark, sf_dir, *types: str) -> DataFrame:
+    found = detect(_docs(spark, sf_dir)).select("doc_id", "text", F.explode("spans").alias("s")).where(F.col("s.type").isin(*types))
+    return found.select("doc_id", F.col("s.type").alias("type"), F.col("s.start").alias("start"), _VALUE.alias("value"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask_documents(spark, sf_dir)
 
 
-@_query()
+_EMAILS = rf"""SELECT doc_id, unnest(regexp_extract_all(text, '{_EMAIL}', 0, 'i')) AS "value" FROM documents WHERE contains(text, '@')"""
+_CARDS = r"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[2-6][0-9]{2,3}(?:[ \t-]?[0-9]){9,15}\b')) AS v FROM documents),
+d AS (SELECT doc_id, v, regexp_replace(v, '[^0-9]', '', 'g') AS x FROM c)
+SELECT doc_id, v AS "value" FROM d WHERE length(x) BETWEEN 13 AND 19 AND len(list_distinct(string_split(x, ''))) > 1
+AND list_sum(list_transform(generate_series(1, length(x)), lambda i: CASE WHEN (length(x) - i) % 2 = 1 THEN (CASE WHEN substr(x, i, 1)::INT * 2 > 9 THEN substr(x, i, 1)::INT * 2 - 9 ELSE substr(x, i, 1)::INT * 2 END) ELSE substr(x, i, 1)::INT END)) % 10 = 0"""
+_ADDRESSES = r"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b')) AS v FROM documents)
+SELECT doc_id, v AS "value" FROM c WHERE len(list_filter(string_split(v, '.'), lambda p: p::INT > 255 OR (length(p) > 1 AND p[1] = '0'))) = 0"""
+_PHONES = r"""SELECT doc_id, unnest(regexp_extract_all(text, '\+[1-9][0-9]{0,2}(?:[ \t().-]*[0-9]){7,13}')) AS "value" FROM documents"""
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, '{t}' AS type, value FROM ({q})" for t, q in (("EMAIL", _EMAILS), ("CARD", _CARDS), ("IP_ADDRESS", _ADDRESSES), ("PHONE", _PHONES)))
+
+
+@_query(_FOUND)
 def detect_spans(spark, sf_dir):
-    return _spans(spark, sf_dir)
+    return _values(spark, sf_dir, *_FORMATS).select("doc_id", "type", "value")
 
 
 @_query()
@@ -53,15 +74,18 @@ def mask_documents(spark, sf_dir):
 
 def _round_trip(mode: str):
     def run(spark, sf_dir):
-        found = detect(_docs(spark, sf_dir), rules=_FORMAT).withColumn("r", S.replace_spans(F.col("text"), F.col("spans"), mode, b"key", F.col("doc_id").cast("string")))
-        return found.select("doc_id", (S.restore_exact(F.col("r.masked"), F.col("r.replacements")) == F.col("text")).alias("restored"))
+        found = detect(_docs(spark, sf_dir)).withColumn("r", S.replace_spans(F.col("text"), F.col("spans"), mode, b"key", F.col("doc_id").cast("string")))
+        back = S.restore_exact(F.col("r.masked"), F.col("r.replacements"))
+        known = F.size(F.filter("spans", lambda s: s["type"].isin(*_FORMATS))).cast("long")
+        changed = F.when(known > 0, F.col("r.masked") != F.col("text")).otherwise(F.lit(False))
+        return found.select("doc_id", F.sha2(back, 256).alias("restored"), known.alias("n_known"), changed.alias("changed"))
 
     return run
 
 
 for _mode in ("mask", "token", "synthetic"):
     _Q[f"round_trip_{_mode}"] = _round_trip(_mode)
-    _SQL[f"round_trip_{_mode}"] = "SELECT doc_id, true AS restored FROM documents"
+    _SQL[f"round_trip_{_mode}"] = f"SELECT d.doc_id, sha256(d.text) AS restored, count(f.value) AS n_known, count(f.value) > 0 AS changed FROM documents d LEFT JOIN ({_FOUND}) f USING (doc_id) GROUP BY ALL"
 
 
 @_query(r"SELECT doc_id, regexp_replace(text, '[\p{L}\p{N}]', '*', 'g') AS masked FROM documents")
@@ -71,35 +95,70 @@ def shape_mask(spark, sf_dir):
 
 @_query("SELECT doc_id, length(text) / 4.0::DOUBLE AS tokens FROM documents")
 def token_estimate(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", (F.length("text") / 4).alias("tokens"))
+    return _docs(spark, sf_dir).select("doc_id", S.token_estimate(F.col("text")).alias("tokens"))
 
 
-@_query(rf"""SELECT doc_id, unnest(regexp_extract_all(text, '{_EMAIL}', 0, 'i')) AS "value" FROM documents WHERE contains(text, '@')""")
+@_query(_EMAILS)
 def email_values(spark, sf_dir):
-    found = detect(_docs(spark, sf_dir).where(F.contains("text", F.lit("@"))), rules=tuple(r for r in RULES if r.type == "EMAIL"))
-    return found.select("doc_id", "text", F.explode("spans").alias("s")).select("doc_id", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
+    return _values(spark, sf_dir, "EMAIL").select("doc_id", "value")
 
 
-@_query(r"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[2-6][0-9]{2,3}(?:[ \t-]?[0-9]){9,15}\b')) AS v FROM documents),
-d AS (SELECT doc_id, v, regexp_replace(v, '[^0-9]', '', 'g') AS x FROM c)
-SELECT doc_id, v AS "value" FROM d WHERE length(x) BETWEEN 13 AND 19 AND len(list_distinct(string_split(x, ''))) > 1
-AND list_sum(list_transform(generate_series(1, length(x)), lambda i: CASE WHEN (length(x) - i) % 2 = 1 THEN (CASE WHEN substr(x, i, 1)::INT * 2 > 9 THEN substr(x, i, 1)::INT * 2 - 9 ELSE substr(x, i, 1)::INT * 2 END) ELSE substr(x, i, 1)::INT END)) % 10 = 0""")
+@_query(_CARDS)
 def card_values(spark, sf_dir):
-    found = detect(_docs(spark, sf_dir), rules=tuple(r for r in RULES if r.reason == "luhn-checksum"))
-    return found.select("doc_id", "text", F.explode("spans").alias("s")).select("doc_id", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
+    return _values(spark, sf_dir, "CARD").select("doc_id", "value")
 
 
-@_query(r"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b')) AS v FROM documents)
-SELECT doc_id, v AS "value" FROM c WHERE len(list_filter(string_split(v, '.'), lambda p: p::INT > 255 OR (length(p) > 1 AND p[1] = '0'))) = 0""")
+@_query(_ADDRESSES)
 def ip_values(spark, sf_dir):
-    found = detect(_docs(spark, sf_dir), rules=tuple(r for r in RULES if r.type == "IP_ADDRESS"))
-    return found.select("doc_id", "text", F.explode("spans").alias("s")).select("doc_id", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
+    return _values(spark, sf_dir, "IP_ADDRESS").select("doc_id", "value")
 
 
-@_query(r"""SELECT doc_id, unnest(regexp_extract_all(text, '\+[1-9][0-9]{0,2}(?:[ \t().-]*[0-9]){7,13}')) AS "value" FROM documents""")
+@_query(_PHONES)
 def international_phones(spark, sf_dir):
-    found = detect(_docs(spark, sf_dir), rules=tuple(r for r in RULES if r.reason == "international-phone-format"))
-    return found.select("doc_id", "text", F.explode("spans").alias("s")).select("doc_id", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
+    return _values(spark, sf_dir, "PHONE").select("doc_id", "value")
+
+
+def _cases(family: str):
+    def run(spark, sf_dir):
+        rows = spark.createDataFrame(cases.rows(family), "case_id long, rule string, text string")
+        found = detect(rows).select("case_id", "rule", "text", F.explode_outer("spans").alias("s"))
+        return found.select("case_id", "rule", "s.type", "s.start", "s.end", _VALUE.alias("value"))
+
+    return run
+
+
+for _family in cases.FAMILIES:
+    _Q[f"rules_{_family}"] = _cases(_family)
+    _SQL[f"rules_{_family}"] = cases.values(_family)
+
+
+@_query(cases.merge_values())
+def merge_cases(spark, sf_dir):
+    rows = spark.createDataFrame(cases.merge_rows(), f"case_id long, rule string, text string, base {SPANS}, model {SPANS}")
+    done = rows.withColumn("m", merged(F.col("text"), F.col("base"), F.col("model")))
+    found = done.select("case_id", "rule", "text", F.col("m.error").alias("error"), F.explode_outer("m.spans").alias("s"))
+    return found.select("case_id", "rule", "s.type", "s.reason", _VALUE.alias("value"), "error")
+
+
+@_query("""SELECT * FROM (VALUES (0::BIGINT, 'CASE_ID', 5, 9), (0, 'CASE_ID', 12, 16), (2, NULL, NULL, NULL)) t(case_id, type, start, "end")""")
+def tenant_rules(spark, sf_dir):
+    docs = spark.createDataFrame([(0, "a", "Дело K-17 и k-20"), (1, "b", "K-17"), (2, "c", "K-17"), (3, "d", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa!")], "case_id long, system string, text string")
+    rules = [("a", [("CASE_ID", "k-[0-9]+")]), ("b", [("CASE_ID", "[0-9]*")]), ("d", [("CASE_ID", "(a|a|aa)+(a|a|aa)+(a|aa)+$")])]
+    found = tenant_spans(docs, spark.createDataFrame(rules, "system string, extra_rules array<struct<type: string, pattern: string>>"))
+    return found.where("custom is not null").select("case_id", F.explode_outer("custom").alias("s")).select("case_id", "s.type", "s.start", "s.end")
+
+
+@_query(cases.marked_values())
+def marked_cases(spark, sf_dir):
+    rows = R.parse_marked(spark.createDataFrame(cases.marked_rows(), "case_id string, marked string"))
+    return rows.select("case_id", "text", F.explode_outer("expected").alias("s")).select("case_id", "text", "s.type", "s.start", "s.end")
+
+
+@_query(f"SELECT 'ALL' AS type, count(*) FILTER (type IS NOT NULL) AS tp, 0::BIGINT AS fp, 0::BIGINT AS fn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f FROM ({cases.marked_values()})")
+def development_scores(spark, sf_dir):
+    rows = R.parse_marked(spark.createDataFrame(cases.marked_rows(), "case_id string, marked string"))
+    flat = lambda df, c: df.select("case_id", F.explode(c).alias("s")).select("case_id", "s.type", "s.start", "s.end")
+    return E.by_type(flat(rows, "expected"), flat(detect(rows), "spans")).where("type = 'ALL'")
 
 
 @_query("SELECT doc_id, sha256(text) AS digest FROM documents")
@@ -107,13 +166,13 @@ def text_digest(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@_query()
+@_query("SELECT doc_id, sha256(text) AS opened, true AS bound FROM documents")
 def sealed_round_trip(spark, sf_dir):
     key = F.lit(bytearray(range(32)))
-    rows = _docs(spark, sf_dir).withColumn("aad", S.hmac_sha256(b"record key", F.col("doc_id").cast("string")))
+    rows = _docs(spark, sf_dir).withColumn("aad", S.hmac_sha256(b"record key", F.to_json(F.array(F.lit("tenant"), F.col("doc_id").cast("string")))))
     sealed = rows.withColumn("sealed", P.seal(F.to_json(F.struct("doc_id", "text")), key, F.col("aad")))
     opened = F.from_json(P.unseal(F.col("sealed"), key, F.col("aad")), "doc_id long, text string")
-    return sealed.select("doc_id", (opened["text"] == F.col("text")).alias("opened"), P.unseal(F.col("sealed"), key, F.lit("other")).isNull().alias("bound"))
+    return sealed.select("doc_id", F.sha2(opened["text"], 256).alias("opened"), P.unseal(F.col("sealed"), key, F.lit("other")).isNull().alias("bound"))
 
 
 @_query("""WITH g AS (SELECT text, count(*) AS n FROM documents GROUP BY text)
@@ -150,16 +209,62 @@ def put_if_absent(spark, sf_dir):
     return P.first_writers(rows, ["user_id"], ["ts", "event_id"], "event_type", "mode").select("event_id", "outcome")
 
 
-@_query("SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) <= 2 AS accepted FROM events")
+_EVENTS = "e AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)"
+_WINDOWS = "w AS (SELECT user_id, min(t) AS opened FROM e GROUP BY user_id UNION ALL SELECT w.user_id, min(e.t) FROM w JOIN e ON e.user_id = w.user_id AND e.t >= w.opened + {width} GROUP BY w.user_id, w.opened)"
+
+
+@_query(f"""WITH RECURSIVE {_EVENTS}, {_WINDOWS.format(width=3 * 86400 * 1000000)}, f AS (SELECT e.event_id, e.t, e.user_id, max(w.opened) AS opened FROM e JOIN w ON w.user_id = e.user_id AND w.opened <= e.t GROUP BY ALL)
+SELECT event_id, row_number() OVER (PARTITION BY user_id, opened ORDER BY t, event_id) <= 2 AS accepted FROM f""")
 def rate_limit(spark, sf_dir):
-    return P.rate_limited(parquet(spark, sf_dir, "events"), "user_id", "ts", "event_id", "day", 2).select("event_id", "accepted")
+    return P.rate_limited(parquet(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3 * 86400, 2).select("event_id", "accepted")
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM e), b AS (
+SELECT user_id, n, event_id, t, true AS accepted, 1.0::DOUBLE AS balance FROM r WHERE n = 1
+UNION ALL SELECT r.user_id, r.n, r.event_id, r.t, x >= 1, CASE WHEN x >= 1 THEN x - 1 ELSE x END FROM b JOIN r ON r.user_id = b.user_id AND r.n = b.n + 1, LATERAL (SELECT least(2.0::DOUBLE, b.balance + (r.t - b.t) / 1000000 * 0.000001::DOUBLE) AS x))
+SELECT event_id, accepted, round(balance, 6) AS balance FROM b""")
+def token_bucket(spark, sf_dir):
+    rows = P.token_bucket(parquet(spark, sf_dir, "events"), "user_id", "ts", "event_id", 0.000001, 2.0)
+    return rows.select("event_id", "accepted", F.round("balance", 6).alias("balance"))
+
+
+@_query(f"""WITH RECURSIVE {_EVENTS}, {_WINDOWS.format(width=3 * 86400 * 1000000)}, f AS (SELECT e.event_id, e.user_id, max(w.opened) AS opened FROM e JOIN w ON w.user_id = e.user_id AND w.opened <= e.t GROUP BY ALL)
+SELECT user_id, opened, count(*) AS n FROM f GROUP BY ALL""")
 def record_expiry(spark, sf_dir):
     return P.with_expiry(parquet(spark, sf_dir, "events"), "user_id", "ts", 86400 * 3)
 
 
+@_query("""WITH r AS (SELECT event_id, user_id, event_type, event_id % 3 AS m, ts, row_number() OVER w AS rn, first_value(event_type) OVER w AS t, first_value(event_id % 3) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+k AS (SELECT user_id, row_number() OVER (ORDER BY ts, event_id) > 50 AS full_ FROM r WHERE rn = 1)
+SELECT event_id, CASE WHEN full_ THEN 'vault_full' WHEN rn = 1 THEN 'created' WHEN event_type <> t THEN 'payload_conflict' WHEN m <> f THEN 'mode_conflict' ELSE 'repeated' END AS outcome FROM r JOIN k USING (user_id)""")
+def vault_capacity(spark, sf_dir):
+    rows = parquet(spark, sf_dir, "events").withColumn("mode", F.col("event_id") % 3)
+    written = P.first_writers(rows, ["user_id"], ["ts", "event_id"], "event_type", "mode")
+    return P.within_capacity(written, ["user_id"], ["ts", "event_id"], 50).select("event_id", "outcome")
+
+
+@_query("""SELECT conv_id, turn, text, CASE WHEN conv_id % 7 IN (5, 6) THEN 'access_denied' WHEN turn % 5 = 1 THEN 'unauthorized' WHEN turn % 3 = 1 THEN 'rate_limited' WHEN length(text) > 120 THEN 'too_large' WHEN turn % 4 = 2 THEN 'invalid_mode' END AS error FROM conversations""")
+def request_outcomes(spark, sf_dir):
+    policies = spark.createDataFrame([(f"s{i}", i != 5, hashlib.sha256(f"key{i}".encode()).hexdigest(), ["mask", "token"] if i % 2 else []) for i in range(6)], "system string, enabled boolean, api_key_hash string, allowed_modes array<string>")
+    rows = parquet(spark, sf_dir, "conversations").withColumn("system", F.expr("concat('s', conv_id % 7)")).withColumn("api_key", F.expr("if(turn % 5 = 1, 'wrong', concat('key', conv_id % 7))"))
+    asked = P.authorize(rows, policies).join(policies.select("system", "allowed_modes"), "system", "left").withColumn("accepted", F.expr("turn % 3 <> 1"))
+    asked = asked.withColumn("allowed_modes", F.coalesce("allowed_modes", F.array().cast("array<string>"))).withColumn("payload", F.col("text").cast("binary")).withColumn("mode", F.expr("if(turn % 4 = 2, 'shred', 'mask')"))
+    return P.request_errors(asked, most=120).select("conv_id", "turn", "text", "error")
+
+
+@_query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '10.0.0.1' WHEN 1 THEN '192.0.2.7' WHEN 2 THEN '192.0.2.7' END AS client, substr(event_type || '/' || user_id, 1, 6) AS agent FROM events""")
+def request_origins(spark, sf_dir):
+    rows = parquet(spark, sf_dir, "events").select("event_id", F.expr("case event_id % 4 when 3 then 'unknown' else '192.0.2.7' end").alias("peer"), F.expr("case event_id % 4 when 0 then '10.0.0.1, 2001:db8::1' when 1 then '10.0.0.1, 300.1.1.1' else null end").alias("forwarded"), F.expr("concat(event_type, '/', user_id)").alias("agent"))
+    return R.request_origin(rows, longest=6).select("event_id", "client", "agent")
+
+
+@_query("SELECT system, operation, types, mode, latency_ms, profile FROM (SELECT 's' || user_id % 3 AS system, 'mask' AS operation, list_sort(list_distinct([event_type, 'EMAIL'])) AS types, 'token' AS mode, value AS latency_ms, 'rules' AS profile FROM events)")
+def audit_log(spark, sf_dir):
+    kinds = F.array(F.struct(F.col("event_type").alias("type")), F.struct(F.lit("EMAIL").alias("type")))
+    rows = parquet(spark, sf_dir, "events").select(F.expr("concat('s', user_id % 3)").alias("system"), F.lit("mask").alias("operation"), kinds.alias("entities"), F.lit("token").alias("mode"), F.col("value").alias("latency_ms"), F.lit("rules").alias("profile"))
+    return R.audit_rows(rows)
+
+
 @_query("""SELECT doc_id, i * 15744 AS start, substr(text, (i * 15744 + 1)::BIGINT, 16000) AS chunk FROM (
 SELECT doc_id, text, unnest(generate_series(0, greatest(0, ceil((length(text) - 16000) / 15744.0)::BIGINT))) AS i FROM documents)""")
 def text_chunks(spark, sf_dir):
@@ -192,51 +297,40 @@ def scores_by_type(spark, sf_dir):
     return E.by_type(*_gold_and_predicted(spark, sf_dir))
 
 
-@_query("SELECT coalesce(quality::VARCHAR, 'ALL') AS gold, coalesce(toxic::VARCHAR, 'ALL') AS predicted, count(*) AS n FROM labels GROUP BY CUBE (quality, toxic)")
-def type_matrix(spark, sf_dir):
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("ALL"))
-    return parquet(spark, sf_dir, "labels").cube("quality", "toxic").agg(F.count("*").alias("n")).select(name("quality").alias("gold"), name("toxic").alias("predicted"), "n")
-
-
-@_query("SELECT o_orderpriority AS type, sum(l_quantity * l_linenumber)::DOUBLE AS weighted, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END)::DOUBLE AS certain FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
-def weighted_totals(spark, sf_dir):
-    joined = parquet(spark, sf_dir, "lineitem").join(parquet(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.groupBy(F.col("o_orderpriority").alias("type")).agg(F.sum(F.col("l_quantity") * F.col("l_linenumber")).cast("double").alias("weighted"), F.sum(F.when(F.col("l_returnflag") == "N", F.col("l_quantity")).otherwise(0)).cast("double").alias("certain"))
-
-
 @_query("SELECT doc_id AS case_id, CASE WHEN l.doc_id IS NULL THEN 'labels' END AS missing FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) WHERE l.doc_id IS NULL")
 def coverage_check(spark, sf_dir):
     tables = {n: parquet(spark, sf_dir, n).select(F.col("doc_id").alias("case_id")) for n in ("documents", "labels")}
     return E.coverage_problems(**tables).select("case_id", F.array_join("missing", ",").alias("missing"))
 
 
-@_query("SELECT lang, doc_id, rn FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY length(text) DESC, doc_id)::INT AS rn FROM documents) WHERE rn <= 5")
-def top_errors(spark, sf_dir):
-    rows = parquet(spark, sf_dir, "documents").select("lang", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.length("text")), "doc_id")).alias("rn"))
-    return rows.where("rn <= 5")
-
-
-@_query("SELECT item_id, row_number() OVER (ORDER BY sha256('case-' || item_id::VARCHAR), item_id)::INT AS rank FROM benchmark")
+@_query("SELECT item_id, row_number() OVER (ORDER BY sha256('case-' || item_id::VARCHAR), item_id) AS rank FROM benchmark")
 def ranked_order(spark, sf_dir):
-    return parquet(spark, sf_dir, "benchmark").select("item_id", F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit("case-"), F.col("item_id").cast("string")), 256), "item_id")).alias("rank"))
+    return R.by_label_hash(parquet(spark, sf_dir, "benchmark").select("item_id"), "item_id", "case-")
 
 
 @_query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def metric_windows(spark, sf_dir):
-    return parquet(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return windows.metric_windows(parquet(spark, sf_dir, "events"), "ts", "event_type")
+
 
+@_query("SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_disc(value, 0.95) AS rank95, quantile_disc(value, 0.99) AS rank99 FROM events GROUP BY event_type")
+def nearest_ranks(spark, sf_dir):
+    return R.nearest_rank(parquet(spark, sf_dir, "events"), "event_type", "value")
 
-@_query("""SELECT conv_id, turn, role, CASE WHEN prev = next AND prev <> role THEN prev ELSE role END AS bridged FROM (
-SELECT conv_id, turn, role, lag(role) OVER w AS prev, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text))""")
+
+@_query("""SELECT conv_id, i, CASE WHEN joins AND prev = next THEN 'I-' || prev ELSE label END AS label FROM (SELECT conv_id, i, label, label = 'O' AS joins, lag(name) OVER w AS prev, lead(name) OVER w AS next FROM (
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text)::INT - 1 AS i, CASE WHEN (row_number() OVER (PARTITION BY conv_id ORDER BY turn, text)) % 3 = 2 THEN 'O' ELSE 'B-' || role END AS label,
+CASE WHEN (row_number() OVER (PARTITION BY conv_id ORDER BY turn, text)) % 3 = 2 THEN NULL ELSE role END AS name FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY i))""")
 def bridge_labels(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn", "text")
-    rows = parquet(spark, sf_dir, "conversations").withColumn("prev", F.lag("role").over(w)).withColumn("next", F.lead("role").over(w))
-    return rows.select("conv_id", "turn", "role", F.when((F.col("prev") == F.col("next")) & (F.col("prev") != F.col("role")), F.col("prev")).otherwise(F.col("role")).alias("bridged"))
+    turns = parquet(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))).alias("t"))
+    mark = lambda i: (i + 1) % 3 == 2
+    tokens = F.transform("t", lambda x, i: F.struct(i.alias("start"), (i + 1).alias("end"), F.when(mark(i), ",").otherwise("x").alias("value"), F.when(mark(i), "O").otherwise(F.concat(F.lit("B-"), x["role"])).alias("label"), F.lit(0.5).alias("score")))
+    return turns.select("conv_id", F.posexplode(M.bridge(tokens)).alias("i", "b")).select("conv_id", "i", "b.label")
 
 
 @_query()
 def detect_all_types(spark, sf_dir):
-    return detect(_docs(spark, sf_dir), rules=every_rule()).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    return detect(_docs(spark, sf_dir)).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
 
 
 @_query()
@@ -247,16 +341,17 @@ def f1_intervals(spark, sf_dir):
     return intervals(rows.select("case_id", "system", (gold & right).cast("int").alias("tp"), (~gold & right).cast("int").alias("fp"), (gold & ~right).cast("int").alias("fn")), "a")
 
 
-@_query()
+@_query(f"""SELECT d.doc_id, CASE WHEN bool_or(f.type = 'EMAIL') THEN count(f.value) ELSE 0 END AS n_selected, coalesce(string_agg(DISTINCT f.type, ',' ORDER BY f.type), '') AS detected_types
+FROM documents d LEFT JOIN (SELECT * FROM ({_FOUND}) WHERE type IN ('EMAIL', 'PHONE', 'CARD')) f USING (doc_id) GROUP BY d.doc_id""")
 def policy_select(spark, sf_dir):
-    found = detect(_docs(spark, sf_dir), rules=_FORMAT)
+    found = detect(_docs(spark, sf_dir))
     picked = P.select_by_policy(F.col("spans"), F.array(F.lit("EMAIL"), F.lit("PHONE"), F.lit("CARD")), F.lit(1), F.array(F.lit("EMAIL")), F.lit(True))
     return found.select("doc_id", picked.alias("p")).select("doc_id", F.size("p.selected").cast("long").alias("n_selected"), F.array_join("p.detected_types", ",").alias("detected_types"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_Q)
+    return {**_Q, **evaluation.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {**_SQL, **evaluation.oracle_sql()}

@@ -23,4 +23,6 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, form: str = "parquet") -> None:
-    df.write.format(form).save(path)
+    """df as files of a form; CSV has a header line, as csv() expects."""
+    writer = df.write.format(form)
+    (writer.option("header", True) if form == "csv" else writer).save(path)

@@ -1,7 +1,8 @@
 """The keyed request protocol as a stateful stream: protect, repeat, restore, refuse.
 
 Detection and masking run before, as plain columns; the state of a (system, payload_id) is one record that lives
-`ttl_seconds` from its creation and isn't extended. Events of a key in one batch are taken by (ts, seq).
+`ttl_seconds` from its creation and isn't extended. Events of a key in one batch are taken by (ts, seq); batches are
+answered as they arrive, so an earlier event that comes in a later batch meets the record that is there by then.
 """
 
 from __future__ import annotations
