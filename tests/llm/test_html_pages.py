@@ -1,5 +1,7 @@
 """Pages with omitted end tags, drawings and formulas."""
 
+import time
+
 import pytest
 
 from textloom.llm.html_text import extract
@@ -42,3 +44,24 @@ def test_comments_and_tags_keep_their_marks():
 def test_linked_paragraph_of_an_article():
     assert extract(f"<article><p>{PROSE}</p><p><a href=x>{PROSE}</a> More.</p></article>") == f"{PROSE}\n\n{PROSE} More."
     assert extract(f"<article><p>{PROSE}</p></article><div><a href=x>{PROSE}</a></div>") == PROSE
+
+
+@pytest.mark.parametrize("part", ["<a ", "<!", "</", '<a "', "<a '\"<b ", "<script", "<div>", "<svg>", "<!--", "<a href='\">", "&amp", "<article>", "<p><b>"])
+def test_long_pages_take_linear_time(part):
+    began = time.time()
+    extract(part * (1_000_000 // len(part)))
+    extract("<div>" * 50_000 + "</p>" * 100_000)
+    assert time.time() - began < 20
+
+
+def test_a_quote_without_end_takes_nothing_along():
+    assert extract(f"<article><p>{PROSE}</p><a title=\"x>link</a><p>{PROSE}</p></article>").startswith(PROSE)
+
+
+def test_odd_rows(spark):
+    from textloom.llm.html_text import main_text
+
+    page = f"<article><p>{PROSE}</p></article>"
+    rows = spark.createDataFrame([(1, "u", page, "x"), (1, "u", page, "x"), (2, None, None, "x"), (None, "u", "", None)], "page_id long, url string, html string, text string")
+    got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in main_text(rows).collect())
+    assert got == [(0, "", 0), (1, PROSE, len(PROSE)), (1, PROSE, len(PROSE)), (2, "", 0)] and main_text(rows.limit(0)).count() == 0

@@ -10,7 +10,8 @@ neighbours, looking inside its own content container first.
 Character references are decoded, white space inside a block becomes one
 space, blocks are joined by an empty line. A null or empty page, or one with
 no content block, gives an empty text. Unclosed tags, comments, scripts and
-attributes close at the end of the page at the latest. Rows repeat as they
+attributes close at the end of the page at the latest; after a quote that
+never ends tags are read without quoting, so a page takes linear time. Rows repeat as they
 come in, empty tables give empty results, other columns are ignored.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -52,11 +54,21 @@ LINK_SHARE = 0.5
 #: Characters below which a block is ambiguous, and from which few stop words suffice; stop-word shares.
 SHORT, LONG, STOP_LOW, STOP_HIGH = 70, 200, 0.08, 0.2
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</\1\s*>|.*\Z)"
-    r"|<(/?)([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
+
+
+def _token(attributes: str) -> re.Pattern[str]:
+    """A comment, a raw element as a whole, a tag, or text. No part gives back what it took, and none but quotes passes a <."""
+    return re.compile(
+        rf"<!--(?:.*?-->|.*+)|<(script|style|template|textarea|title)\b{attributes}*+>(?:.*?</\1\s*+>|.*+)"
+        rf"|<(/?)([a-zA-Z][^\s<>/]*+)({attributes}*+)>|<[!?/][^<>]*+>|[^<]++|<",
+        re.S | re.I,
+    )
+
+
+_TOKEN = _token(r"(?:\"[^\"]*+\"|'[^']*+'|[^'\"<>])")
+#: The same after a quote that never ends: quotes are characters like others.
+_UNQUOTED = _token(r"[^<>]")
+_HEAD = re.compile(r"</?[a-zA-Z](?:\"[^\"]*+\"|'[^']*+'|[^'\"<>])*+")
 _SVG_END = re.compile(r"</svg\s*>", re.I)
 #: Tags that no drawing has: a drawing without an end tag ends there.
 _NOT_SVG = re.compile(
@@ -76,6 +88,12 @@ def _marked(attributes: str, marks: frozenset = MARKS) -> bool:
     return False
 
 
+def _open_quote(page: str, at: int) -> bool:
+    """Whether what starts at a < would be a tag but for a quote without an end."""
+    head = _HEAD.match(page, at)
+    return head is not None and head.end() < len(page) and page[head.end()] in "\"'"
+
+
 def blocks_of(page: str) -> list[tuple[str, int, int, bool]]:
     """(text, characters inside links, content container or -1, stands in a container that is never content)."""
     out: list[tuple[str, int, int, bool, int]] = []
@@ -86,6 +104,8 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool]]:
     parts: list[str] = []
     linked: list[str] = []
     link, never, inside, containers = False, False, -1, 0
+    open_tags: Counter = Counter()
+    token = _TOKEN
     at, svg_ends = 0, True
 
     def close() -> None:
@@ -97,7 +117,10 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool]]:
             linked.clear()
 
     while at < len(page):
-        m = _TOKEN.match(page, at)
+        m = token.match(page, at)
+        if m[0] == "<" and token is _TOKEN and _open_quote(page, at):
+            token = _UNQUOTED
+            m = token.match(page, at)
         at = m.end()
         whole = m[0]
         tag = m[3]
@@ -130,9 +153,11 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool]]:
             if tag in VOID:
                 continue
             if m[2]:
-                if any(t[0] == tag for t in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                while open_tags[tag]:
+                    last = stack.pop()[0]
+                    open_tags[last] -= 1
+                    if last == tag:
+                        break
             elif not m[4].endswith("/"):
                 if tag in CONTENT:
                     containers += 1
@@ -143,6 +168,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool]]:
                             marked = around[marked]
                         marked = 0
                     stack.append((tag, never, inside if inside >= 0 else containers, marked))
+                    open_tags[tag] += 1
                 elif tag not in ("html", "body"):
                     item = tag in ("p", "li", "tr", "td", "th", "dt", "dd")
                     own = _marked(m[4])
@@ -151,6 +177,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool]]:
                     if own or not item:
                         bad = not item and (tag in NEVER or (tag == "header" and inside < 0))
                         stack.append((tag, never or bad, inside, len(around) - 1 if own else marked))
+                        open_tags[tag] += 1
             never = stack[-1][1] if stack else False
             inside = stack[-1][2] if stack else -1
             marked = stack[-1][3] if stack else 0

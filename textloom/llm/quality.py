@@ -141,5 +141,6 @@ def judge(docs: DataFrame, max_class: float = MAX_CLASS, max_common: float = MAX
     js_common = F.when((F.col("n_words") >= MIN_WORDS_COMMON) & (F.col("key") != "other"), _distance(F.col("p_common"), F.col("q_common")))
     rows = rows.withColumn("js_class", F.coalesce(js_class, F.lit(0.0))).withColumn("js_common", F.coalesce(js_common, F.lit(0.0)))
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
-    kept = ~F.col("base_failed") & (F.col("js_class") <= max_class) & (F.col("js_common") <= max_common)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_class", "js_common", kept.alias("kept"))
+    # to 6 places, so that the order of a sum decides nothing
+    kept = ~F.col("base_failed") & (F.round("js_class", 6) <= max_class) & (F.round("js_common", 6) <= max_common)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("js_class", 6).alias("js_class"), F.round("js_common", 6).alias("js_common"), kept.alias("kept"))

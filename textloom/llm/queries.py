@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import ann, bpe, html_text, mixture, near_dedup, quality, suffix_dedup, token_counts, token_store, toxicity
+from textloom.llm import ann, bpe, html_text, mixture, near_dedup, oracles, quality, suffix_dedup, token_counts, token_store, toxicity
 from textloom.llm.common import table
 
 JSON_VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -55,4 +55,5 @@ QUERIES = {
     f.__name__: f
     for f in (op1_token_counts, op2_suffix_dedup, op3_html_text, op4_ann_search, op5_quality, op6_token_store, op7_near_dedup, op8_toxicity, op9_bpe, op10_mixture)
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators: library ids, learned scores, fitted books and hashed draws; tests hold them against brute force.
+ORACLE_SQL = {"op2_suffix_dedup": oracles.suffix_dedup_sql(), "op5_quality": oracles.quality_sql(), "op7_near_dedup": oracles.near_dedup_sql()}
