@@ -14,7 +14,8 @@ Codebooks are fitted on a bounded sample, the first SAMPLE vectors by a hash
 of the id; every vector is indexed. Vectors that are null, zero, of another
 length than the sample's most frequent one, or hold null or non-finite
 components take no part. A query's own id is no candidate, repeated rows are
-candidates of their own. Empty tables give empty results; other columns are
+candidates of their own; of several rows with a query's id the least vector
+asks. Empty tables give empty results; other columns are
 ignored.
 """
 
@@ -180,14 +181,14 @@ def search(index: DataFrame, books: Codebooks | None, queries: DataFrame, k: int
     if books is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = books.words.shape[2]
-    asked = usable(queries).where(F.size("vector") == width)
+    asked = usable(queries).where(F.size("vector") == width).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     path = scratch(spark, "neighbours")
     for b in range(n_blocks):
         block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).toArrow()  # about QUERY_BLOCK rows
         q_ids, q = block.column("vec_id").to_numpy(), np.array(block.column("vector").to_pylist(), np.float32).reshape(-1, width)
-        q_ids, firsts = np.unique(q_ids, return_index=True)
-        shared = spark.sparkContext.broadcast((books, q_ids, q[firsts]))
+        order = np.argsort(q_ids)
+        shared = spark.sparkContext.broadcast((books, q_ids[order], q[order]))
 
         def run(batches, shared=shared):
             books, q_ids, q = shared.value
