@@ -87,3 +87,38 @@ def test_merge_refuses_bad_output_and_keeps_what_rules_cover():
         assert all(x.end <= y.start for x, y in zip(out, out[1:]))
         covered = {i for s in out for i in range(s.start, s.end) if text[i].isalnum()}
         assert {i for s in base for i in range(s.start, s.end) if text[i].isalnum()} <= covered
+
+
+def test_in_sql(spark):
+    engine.register(spark)
+    spark.createDataFrame([(1, "почта a@example.net и 10.0.0.1"), (2, None)], "id int, t string").createOrReplaceTempView("letters")
+    rows = spark.sql("SELECT id, s.type, substring(t, s.start + 1, s.end - s.start) AS v FROM letters, LATERAL pii_spans(t) s ORDER BY v").collect()
+    assert [tuple(r) for r in rows] == [(1, "IP_ADDRESS", "10.0.0.1"), (1, "EMAIL", "a@example.net")]
+    assert [r["m"] for r in spark.sql("SELECT pii_mask(t) AS m FROM letters ORDER BY id").collect()] == ["почта *@*******.*** и **.*.*.*", None]
+
+
+def test_policies_and_settings(spark, tmp_path):
+    import json
+
+    from textloom.sources import tables
+    from textloom.types import TYPES
+
+    def read(**policy):
+        (tmp_path / "p.json").write_text(json.dumps({"systems": {"a": {"api_key_hash": "x", **policy}}}))
+        return tables.policies(spark, str(tmp_path / "p.json"), TYPES).first()
+
+    assert (read()["min_types"], read(types=["EMAIL"])["types"], read(enabled=False)["enabled"]) == (1, ["EMAIL"], False)
+    for bad in ({"types": ["NOTHING"]}, {"mode": "shred"}, {"min_types": 0}, {"enabled": 1}, {"rps": True}, {"other": 1}, {"allowed_modes": ["token"]}, {"api_key_hash": ""}):
+        with pytest.raises(ValueError):
+            read(**bad)
+    with pytest.raises(ValueError):
+        tables.Settings(ttl_seconds=0)
+
+
+def test_stratified_draws_keep_the_sizes_of_strata(spark):
+    from textloom.operators.bootstrap import draws_of_f1
+
+    rows = [(i, "a", int(i < 50), 0, int(i >= 50), "x" if i < 50 else "y") for i in range(100)]
+    cases_ = spark.createDataFrame(rows, "case_id int, system string, tp int, fp int, fn int, part string")
+    assert {round(r["f1"], 6) for r in draws_of_f1(cases_, 50, stratum="part").collect()} == {round(2 * 50 / (2 * 50 + 50), 6)}
+    assert len({r["f1"] for r in draws_of_f1(cases_, 50).collect()}) > 5

@@ -24,37 +24,45 @@ def _weights(cases, draws: int, seed: int):
     return np.searchsorted(steps, (x >> np.uint64(11)) / 2.0**53, side="right")
 
 
-def draws_of_f1(cases: DataFrame, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+def draws_of_f1(cases: DataFrame, draws: int = DRAWS, seed: int = SEED, stratum: str | None = None) -> DataFrame:
     """system, draw, f1 from cases (case_id, system, tp, fp, fn). All systems share a case's weight in a draw.
 
-    A partition gives one row for each system and draw, so what is shuffled doesn't grow with the cases.
+    stratum: a column whose groups keep their sizes in every draw. A partition gives one row for each system, stratum and
+    draw, so what is shuffled doesn't grow with the cases.
     """
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
         sums: dict = {}
+        size: dict = {}
         for batch in batches:
-            for system, rows in batch.groupby("system"):
+            for group, rows in batch.groupby(["system", "stratum"]):
                 for at in range(0, len(rows), 512):
                     part = rows.iloc[at : at + 512]
                     w = _weights(part["h"].to_numpy(), draws, seed)
-                    sums[system] = sums.get(system, 0) + w.T @ part[["tp", "fp", "fn"]].to_numpy(dtype=np.int64)
-        for system, s in sums.items():
-            yield pd.DataFrame({"system": system, "draw": np.arange(draws), "tp": s[:, 0], "fp": s[:, 1], "fn": s[:, 2]})
-
-    hashed = cases.select("system", F.xxhash64("case_id").alias("h"), *[F.col(c).cast("long") for c in ("tp", "fp", "fn")])
-    total = hashed.mapInPandas(add, "system string, draw long, tp long, fp long, fn long").groupBy("system", "draw").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+                    sums[group] = sums.get(group, 0) + w.T @ part[["tp", "fp", "fn", "one"]].to_numpy(dtype=np.int64)
+                size[group] = size.get(group, 0) + len(rows)
+        for (system, name), s in sums.items():
+            yield pd.DataFrame({"system": system, "stratum": name, "draw": np.arange(draws), "tp": s[:, 0], "fp": s[:, 1], "fn": s[:, 2], "w": s[:, 3], "n": size[system, name]})
+
+    group = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")
+    hashed = cases.select("system", group.alias("stratum"), F.xxhash64("case_id").alias("h"), *[F.col(c).cast("long") for c in ("tp", "fp", "fn")], F.lit(1).cast("long").alias("one"))
+    parts = hashed.mapInPandas(add, "system string, stratum string, draw long, tp long, fp long, fn long, w long, n long")
+    strata = parts.groupBy("system", "stratum", "draw").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "w", "n")])
+    # a stratum's sums are scaled to its own size; one that a draw leaves out has none
+    scale = F.when(F.col("w") > 0, F.col("n") / F.col("w")).otherwise(0.0) if stratum else F.lit(1.0)
+    total = strata.groupBy("system", "draw").agg(*[F.sum(F.col(c) * scale).alias(c) for c in ("tp", "fp", "fn")])
     size = 2 * F.col("tp") + F.col("fp") + F.col("fn")
     return total.select("system", "draw", F.when(size > 0, 2 * F.col("tp") / size).otherwise(0.0).alias("f1"))
 
 
-def intervals(cases: DataFrame, reference: str, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+def intervals(cases: DataFrame, reference: str, draws: int = DRAWS, seed: int = SEED, stratum: str | None = None) -> DataFrame:
     """system, low, high of F1 and, against the reference system, low and high of the difference and the share of draws above it.
 
-    Cases are resampled by independent Poisson counts, the one-pass form of resampling with replacement: strata keep their sizes on average only.
+    Cases are resampled by independent Poisson counts, the one-pass form of resampling with replacement; with `stratum` every draw is scaled to the strata's sizes.
     """
-    each = draws_of_f1(cases, draws, seed)
+    each = draws_of_f1(cases, draws, seed, stratum)
     base = each.where(F.col("system") == reference).select("draw", F.col("f1").alias("base"))
     q = lambda c, p: F.round(F.percentile(c, p), 6)
     gain = F.col("f1") - F.col("base")

@@ -171,6 +171,25 @@ def numbered(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
     return cut.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("long")).drop("_part", "_id", "_first", "_before")
 
 
+def running_total(rows: DataFrame, order: list, value: str, name: str = "total") -> DataFrame:
+    """Rows with the sum of `value` up to and with each in a total order; ranges are summed by themselves and moved, as in numbered()."""
+    cut = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    before = F.coalesce(F.sum("s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = cut.groupBy("_part").agg(F.sum(value).alias("s")).select("_part", before.alias("_before"))
+    own = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + own).drop("_part", "_before")
+
+
+def capture_within(rows: DataFrame, order: list, size: str, most: int) -> DataFrame:
+    """Rows with `kept`: captured until the sizes reach `most`; the counts of kept and dropped rows follow from it."""
+    return running_total(rows, order, size, "_total").withColumn("kept", F.col("_total") <= most).drop("_total")
+
+
+def captured_texts(rows: DataFrame, text: str, source: str) -> DataFrame:
+    """digest, source, n: how often each text was captured from each source; texts themselves are not shown."""
+    return rows.where(F.col(text).isNotNull()).groupBy(F.sha2(text, 256).alias("digest"), F.col(source).alias("source")).agg(F.count("*").alias("n"))
+
+
 def by_label_hash(rows: DataFrame, key: str, prefix: str) -> DataFrame:
     """Rows in the order of the SHA-256 of their labels, numbered from 1."""
     return numbered(rows.withColumn("_h", F.sha2(F.concat(F.lit(prefix), F.col(key).cast("string")), 256)), ["_h", key]).drop("_h")

@@ -13,7 +13,7 @@ from textloom.operators.bootstrap import intervals
 from textloom.plans import cases, evaluation
 from textloom.rules.engine import detect, tenant_spans
 from textloom.rules.merge import merged
-from textloom.sources.tables import parquet
+from textloom.sources.tables import metrics_text, parquet
 from textloom.streaming import windows
 from textloom.types import SPANS
 
@@ -258,6 +258,23 @@ def request_origins(spark, sf_dir):
     return R.request_origin(rows, longest=6).select("event_id", "client", "agent")
 
 
+@_query("SELECT sha256(text) AS digest, source, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL")
+def captured_texts(spark, sf_dir):
+    return R.captured_texts(parquet(spark, sf_dir, "documents"), "text", "source")
+
+
+@_query("SELECT event_id, sum(length(event_type)) OVER (ORDER BY ts, event_id) <= 5000 AS kept FROM events")
+def capture_cap(spark, sf_dir):
+    rows = parquet(spark, sf_dir, "events").withColumn("size", F.length("event_type"))
+    return R.capture_within(rows, ["ts", "event_id"], "size", 5000).select("event_id", "kept")
+
+
+@_query("""SELECT 'requests_total{mode="' || event_type || '",system="s' || user_id % 3 || '"} ' || count(*) AS "value" FROM events GROUP BY event_type, user_id % 3""")
+def metrics_lines(spark, sf_dir):
+    counts = parquet(spark, sf_dir, "events").groupBy("event_type", F.expr("user_id % 3").alias("s")).agg(F.count("*").alias("value"))
+    return metrics_text(counts.select(F.lit("requests_total").alias("name"), F.create_map(F.lit("system"), F.concat(F.lit("s"), F.col("s").cast("string")), F.lit("mode"), F.col("event_type")).alias("labels"), "value"))
+
+
 @_query("SELECT system, operation, types, mode, latency_ms, profile FROM (SELECT 's' || user_id % 3 AS system, 'mask' AS operation, list_sort(list_distinct([event_type, 'EMAIL'])) AS types, 'token' AS mode, value AS latency_ms, 'rules' AS profile FROM events)")
 def audit_log(spark, sf_dir):
     kinds = F.array(F.struct(F.col("event_type").alias("type")), F.struct(F.lit("EMAIL").alias("type")))

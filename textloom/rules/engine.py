@@ -178,3 +178,29 @@ def tenant_spans(docs: DataFrame, policies: DataFrame) -> DataFrame:
     return joined.withColumn("custom", run("text", "extra_rules")).drop("extra_rules")
 
 
+
+
+def register(spark) -> None:
+    """For SQL: pii_spans(text), a table function for LATERAL use, and pii_mask(text), null where a text can't be searched."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="start int, end int, type string, confidence double, reason string")
+    class Spans:
+        def eval(self, text: str):
+            yield from find(text or "")
+
+    @F.arrow_udf("string")
+    def mask(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            try:
+                chars = list(t or "")
+                for s in find(t or ""):
+                    chars[s.start : s.end] = ["*" if c.isalnum() else c for c in chars[s.start : s.end]]
+                out.append(None if t is None else "".join(chars))
+            except Exception:  # noqa: BLE001 - never the raw text
+                out.append(None)
+        return pa.array(out, pa.string())
+
+    spark.udtf.register("pii_spans", Spans)
+    spark.udf.register("pii_mask", mask)
