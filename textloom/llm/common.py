@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from textloom.sources.tables import spread
+
 #: Bytes of text that a kernel works on at once.
 BLOCK_BYTES = 1 << 20
 #: Rows of an Arrow batch between Spark and Python.
@@ -18,7 +20,7 @@ BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -23,7 +23,7 @@ of 5e-8.
 Null or wordless texts have an empty set, are linked with nothing and are
 their own component. Rows with a null id are kept and have a null component.
 Equal rows give equal results; where one id comes with several texts, links
-are judged by one of them. Empty tables give empty results; other columns are
+are judged by one of them, and component ids by the id. Empty tables give empty results; other columns are
 ignored.
 """
 
@@ -125,16 +125,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (which set), registers of every row."""
+    """doc_id, t (hash of the text), n_shingles, k1, k2 (which set), registers of every row."""
 
     def kernel(block: pa.RecordBatch) -> pa.RecordBatch:
         sets = ShingleSets(block.column("text").cast(pa.binary()).to_pylist(), width)
         k1, k2 = sets.keys()
         return pa.RecordBatch.from_arrays(
-            [block.column("doc_id"), pa.array(sets.counts, pa.int64()), pa.array(k1), pa.array(k2), _binary_rows(sets.registers())], ["doc_id", "n_shingles", "k1", "k2", "registers"]
+            [block.column("doc_id"), block.column("t"), pa.array(sets.counts, pa.int64()), pa.array(k1), pa.array(k2), _binary_rows(sets.registers())], ["doc_id", "t", "n_shingles", "k1", "k2", "registers"]
         )
 
-    return map_text_blocks(id_and_text(docs), kernel, "doc_id long, n_shingles long, k1 long, k2 long, registers binary")
+    return map_text_blocks(id_and_text(docs).withColumn("t", F.xxhash64("text")), kernel, "doc_id long, t long, n_shingles long, k1 long, k2 long, registers binary")
 
 
 def _band_keys(bands: np.ndarray) -> np.ndarray:
@@ -319,7 +319,7 @@ def _in_blocks(rows: DataFrame, group: str, block: int, exact: bool) -> DataFram
 
 
 def link(docs: DataFrame, width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, k1, k2 of every row; k1, k2, root of every class)."""
+    """(doc_id, t, n_shingles, k1, k2 of every row; k1, k2, root of every class)."""
     spark = docs.sparkSession
     rows, _ = materialize(signatures(docs, width), "signatures")
     whole = rows.where("doc_id is not null and n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"))
@@ -354,17 +354,25 @@ def link(docs: DataFrame, width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     return rows.drop("registers"), grouped
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs."""
+def _judged(docs: DataFrame, width: int) -> DataFrame:
     rows, classes = link(docs, width)
     found = rows.join(classes, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return found.select("doc_id", "t", "k1", "k2", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs."""
+    return _judged(docs, width).drop("t", "k1", "k2")
 
 
 def keep_one_each(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """The rows of docs that stand for their group, with all their columns; rows with a null id stay, repeated rows once."""
-    found = near_duplicates(docs, width).where("kept and doc_id is not null").select("doc_id").distinct()
-    some = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs that stand for their group, with all their columns; rows with a null id stay, rows with one id and one set once.
+
+    Different texts under one id are rows of their own: each stays unless it is another document's near-duplicate.
+    """
+    kept = _judged(docs, width).where("kept and doc_id is not null").groupBy("doc_id", "k1", "k2").agg(F.min("t").alias("t"))
+    keyed = docs.where("doc_id is not null").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"))
+    some = keyed.join(kept.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")), ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"]).select("row.*")
     return some.union(docs.where("doc_id is null"))

@@ -24,6 +24,8 @@ from textloom.llm import bpe_kernel
 from textloom.llm.common import id_and_text, map_text_blocks, scratch
 
 END_ID = 2
+#: Bytes of text whose ids go into one file, about, where the shuffle partitions would hold more.
+FILE_BYTES = 256 << 20
 SCHEMA = "doc_id long, ids array<int>"
 
 
@@ -43,7 +45,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_
 
     spark = docs.sparkSession
     rows = id_and_text(docs, id_col, text_col)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     (
         map_text_blocks(ordered, kernel, SCHEMA)
