@@ -13,7 +13,7 @@ from textloom.operators.bootstrap import intervals
 from textloom.plans import cases, evaluation
 from textloom.rules.engine import detect, tenant_spans
 from textloom.rules.merge import merged
-from textloom.sources.tables import metrics_text, parquet
+from textloom.sources.tables import metrics_text, parquet, spread
 from textloom.streaming import windows
 from textloom.types import SPANS
 
@@ -33,7 +33,7 @@ def _query(sql: str | None = None):
 
 
 def _docs(spark, sf_dir):
-    return parquet(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(parquet(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 #: Types of the tables' own texts, which SQL finds too.

@@ -16,6 +16,20 @@ def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a file's part that Spark reads in one task by default.
+_PART = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if it is read from fewer files and is too small to be split for all of them.
+
+    A small table in one file has one row group, so one task would do all the work of a kernel. Larger tables stay as read.
+    """
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 0 < files < cores and size < cores * _PART else df
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines; a malformed line is an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
