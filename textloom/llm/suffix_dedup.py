@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textloom.llm.common import blocks, discard, materialize, trim
+from textloom.llm.common import blocks, discard, drop_shuffles, materialize, trim
 from textloom.llm.hashing import PrefixHash, in_filter, make_filter, mix, word_hashes
 
 LENGTH, GRAM = 400, 200
@@ -181,20 +181,21 @@ def _passing(rows: DataFrame, grams: DataFrame) -> DataFrame:
     return _with_id(rows.select("gram", "whole", "key", "lo", "n").mapInArrow(run, "gram long, whole long, key long, lo long, n int"))
 
 
-def _edge_windows(texts: DataFrame, chosen: DataFrame, length: int, gram: int, unit: str) -> DataFrame:
-    """first, second (ranks of both halves), key, lo of every window of the chosen rows, and of a few others."""
-    ids, keys = make_filter(chosen.select("id")), make_filter(chosen.select(F.col("key").alias("id")))
-    if ids is None:
+def _edge_windows(texts: DataFrame, chosen: DataFrame, ranks: DataFrame, length: int, gram: int, unit: str) -> DataFrame:
+    """first, second (ranks of both halves), key, lo of every window of the chosen rows, and of a few others; ranks: the repeated ones (id)."""
+    ids, keys, grams = make_filter(chosen.select("id")), make_filter(chosen.select(F.col("key").alias("id"))), make_filter(ranks)
+    if ids is None or grams is None:
         some = texts.join(chosen.groupBy(F.col("key").alias("at")).agg(F.collect_list("lo").alias("los")), F.col("key") == F.col("at")).select("key", "text", "los")
         share = None
     else:
-        some, share = texts, texts.sparkSession.sparkContext.broadcast((keys, ids))
+        some, share = texts, texts.sparkSession.sparkContext.broadcast((keys, ids, grams))
 
     def picked(w: Windows, block: pa.RecordBatch, key: np.ndarray) -> np.ndarray:
         if not len(w.n):
             return np.zeros(0, np.int64)
         if share is not None:
-            return np.flatnonzero(in_filter(share.value[1], _row_id(key, w.lo)))
+            near = np.flatnonzero(in_filter(share.value[2], w.gram.view(np.int64)))
+            return near[in_filter(share.value[1], _row_id(key, w.lo)[near])]
         los = block.column("los").to_pylist()
         wanted = np.concatenate([_row_id(np.full(len(x), k, np.int64), np.asarray(x, np.int64)) for k, x in zip(block.column("key").to_pylist(), los)])
         return np.flatnonzero(np.isin(_row_id(key, w.lo), wanted))
@@ -229,10 +230,11 @@ def unique_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     rows, rows_path = materialize(_anchors(texts, length, gram, unit), "anchors")
     ranked = rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("whole").alias("a"), F.max("whole").alias("z"), F.min(F.struct("key", "lo", "n")).alias("row")).where("c = 1 or a <> z")
     ranked, ranked_path = materialize(ranked.select("gram", (F.col("c") == 1).alias("alone"), "row.*"), "ranks")
-    chosen = _passing(rows, ranked.where("not alone").select(F.col("gram").alias("id"))).groupBy("gram", "whole").agg(F.count("*").alias("c"), F.min(F.struct("id", "key", "lo", "n")).alias("row")).select("c", "row.*")
+    again = ranked.where("not alone").select(F.col("gram").alias("id"))
+    chosen = _passing(rows, again).groupBy("gram", "whole").agg(F.count("*").alias("c"), F.min(F.struct("id", "key", "lo", "n")).alias("row")).select("c", "row.*")
     chosen, chosen_path = materialize(chosen, "chosen")
     discard(spark, rows_path)
-    edges = _edge_windows(texts, chosen, length, gram, unit).groupBy("first", "second").agg(F.count("*").alias("c"), F.min(F.struct("key", "lo")).alias("row")).where("c = 1")
+    edges = _edge_windows(texts, chosen, again, length, gram, unit).groupBy("first", "second").agg(F.count("*").alias("c"), F.min(F.struct("key", "lo")).alias("row")).where("c = 1")
     # a chosen row that stands for several has no unique windows, though it took part once: negative numbers
     stands = chosen.where("c > 1").select("key", "lo", -F.col("n"))
     singles = ranked.where("alone").select("key", "lo", "n").union(edges.select("row.key", "row.lo", F.lit(1))).union(stands)
@@ -279,21 +281,31 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
     @F.arrow_udf("struct<kept: binary, n_bytes: long, n_removed: long, n_spans: long>")
     def cut(text: pa.Array, ranges: pa.Array) -> pa.Array:
-        out = []
-        for t, r in zip(text.to_pylist(), ranges):
-            r = r.values if r.is_valid else None
-            lo = r.field("lo").to_numpy() if r is not None else np.zeros(0, np.int64)
-            n = r.field("n").to_numpy() if r is not None else np.zeros(0, np.int64)
-            start, end = removed_bytes(t, lo, n, length, unit)
-            kept = b"".join(t[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(t)]))
-            out.append((kept, len(t), len(t) - len(kept), len(start)))
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        columns = list(zip(*out)) or [()] * 4
-        return pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["kept", "n_bytes", "n_removed", "n_spans"])
+        return _cut(text, ranges, length, unit)
 
+    return _with_spans(docs, text_col, spans).select("row", cut("text", "spans0").alias("removal"))
+
+
+def _cut(text: pa.Array, ranges: pa.Array, length: int, unit: str) -> pa.StructArray:
+    out = []
+    for t, r in zip(text.to_pylist(), ranges):
+        r = r.values if r.is_valid else None
+        lo = r.field("lo").to_numpy() if r is not None else np.zeros(0, np.int64)
+        n = r.field("n").to_numpy() if r is not None else np.zeros(0, np.int64)
+        start, end = removed_bytes(t, lo, n, length, unit)
+        kept = b"".join(t[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(t)]))
+        out.append((kept, len(t), len(t) - len(kept), len(start)))
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    columns = list(zip(*out)) or [()] * 4
+    return pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["kept", "n_bytes", "n_removed", "n_spans"])
+
+
+def _with_spans(docs: DataFrame, text_col: str, *spans: DataFrame) -> DataFrame:
+    """row (all columns of docs), text as bytes, and spans0, spans1 ... of the text; texts are shuffled once."""
     named = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.xxhash64(text_col).alias("key"))
-    joined = named.join(spans.withColumnRenamed("key", "span_key"), F.col("key") == F.col("span_key"), "left")
-    return joined.select("row", cut("text", "spans").alias("removal"))
+    for i, each in enumerate(spans):
+        named = named.join(each.select(F.col("key").alias(f"key{i}"), F.col("spans").alias(f"spans{i}")), F.col("key") == F.col(f"key{i}"), "left").drop(f"key{i}")
+    return named
 
 
 def without_repeats(docs: DataFrame, **how) -> DataFrame:
@@ -316,14 +328,16 @@ def _readable(kept: str) -> Column:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and n_passage_bytes (those in passages of over 50 words that occur elsewhere too) of every row."""
-    passages = passage_bytes(docs.select("text"))
-    rows = remove_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    found = rows.select("row.doc_id", F.xxhash64("row.text").alias("key"), "removal.n_bytes", "removal.n_removed", "removal.n_spans", F.sha2("removal.kept", 256).alias("kept_sha256"))
-    return found.join(passages, "key", "left").select(*found.columns[:1], *found.columns[2:], F.coalesce("n_passage_bytes", F.lit(0).cast("long")).alias("n_passage_bytes"))
-
-
-def passage_bytes(docs: DataFrame) -> DataFrame:
-    """key (hash of the text), n_passage_bytes of the texts with passages of over 50 words that occur elsewhere too, written to the shared folder."""
-    cut = remove_repeats(docs, length=PASSAGE_WORDS, gram=PASSAGE_GRAM, unit="words").where("removal.n_removed > 0")
-    found = cut.groupBy(F.xxhash64("row.text").alias("key")).agg(F.max("removal.n_removed").alias("n_passage_bytes"))
-    return materialize(found, "passages")[0]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    said, _ = unique_ranges(rows, "text", PASSAGE_WORDS, PASSAGE_GRAM, "words")
+    drop_shuffles(docs.sparkSession)
+    spans, _ = unique_ranges(rows)
+    fields = "kept: binary, n_bytes: long, n_removed: long, n_spans: long, n_passage_bytes: long"
+
+    @F.arrow_udf(f"struct<{fields}>")
+    def cut(text: pa.Array, ranges: pa.Array, passages: pa.Array) -> pa.Array:
+        one, two = _cut(text, ranges, LENGTH, "bytes"), _cut(text, passages, PASSAGE_WORDS, "words")
+        return pa.StructArray.from_arrays([*one.flatten(), two.field("n_removed")], [f.split(":")[0] for f in fields.split(", ")])
+
+    found = _with_spans(rows, "text", spans, said).select("row.doc_id", cut("text", "spans0", "spans1").alias("removal"))
+    return found.select("doc_id", "removal.n_bytes", "removal.n_removed", "removal.n_spans", F.sha2("removal.kept", 256).alias("kept_sha256"), "removal.n_passage_bytes")
