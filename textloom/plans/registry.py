@@ -66,7 +66,8 @@ def detect_spans(spark, sf_dir):
     return _values(spark, sf_dir, *_FORMATS).select("doc_id", "type", "value")
 
 
-@_query()
+@_query(rf"""SELECT d.doc_id, list_reduce(list_prepend(any_value(d.text), list(f.value ORDER BY length(f.value) DESC) FILTER (f.value IS NOT NULL)), lambda t, v: replace(t, v, regexp_replace(v, '[\p{{L}}\p{{N}}]', '*', 'g'))) AS masked, count(f.value) AS n_spans
+FROM documents d LEFT JOIN ({_FOUND}) f USING (doc_id) GROUP BY d.doc_id""")
 def mask_documents(spark, sf_dir):
     found = detect(_docs(spark, sf_dir)).withColumn("r", S.replace_spans(F.col("text"), F.col("spans"), "mask"))
     return found.select("doc_id", "r.masked", F.size("spans").cast("long").alias("n_spans"))
@@ -345,9 +346,10 @@ def bridge_labels(spark, sf_dir):
     return turns.select("conv_id", F.posexplode(M.bridge(tokens)).alias("i", "b")).select("conv_id", "i", "b.label")
 
 
-@_query()
+@_query(f"SELECT doc_id, type, count(*) AS n FROM ({_FOUND}) GROUP BY ALL")
 def detect_all_types(spark, sf_dir):
-    return detect(_docs(spark, sf_dir)).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    found = detect(_docs(spark, sf_dir)).select("doc_id", F.explode("spans").alias("s"))
+    return found.groupBy("doc_id", F.col("s.type").alias("type")).agg(F.count("*").alias("n"))
 
 
 @_query()

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 from textloom.rules import lexicon as L
-from textloom.rules.scan import Cues, Span, abbreviated, alt, record, rx, word
+from textloom.rules.scan import Cues, Span, abbreviated, alt, blocks, record, rx, word
 
 _OWNERS = Cues(**L.NUMBER_OWNERS)
 _KINDS = {"license": "DRIVER_LICENSE", "driver_card": "DRIVER_LICENSE", "passport": "PASSPORT"}
@@ -93,10 +93,16 @@ def passport_record(text: str, start: int) -> bool:
 
 
 _BUSINESS_TAIL = rx(rf"[ \t]+{alt(L.BUSINESS_TAIL)}(?!\w)")
-_GROUPED = rx(r"(?<![\w./-])(?P<value>(?:[0-9]{4}|[0-9]{2}[ \t/-][0-9]{2})[ \t/-][0-9]{6})(?!\w|[./-][0-9]|[ \t]+[0-9])")
-_PART = rx(
-    rf"(?:{word('серия|серии|серией|сер.')}[ \t]*[:=—–-]?[ \t]*(?P<series>[0-9]{{2}}[ \t]?[0-9]{{2}})|(?:{word('номер|номером|ном.')}|№)[ \t]*[:=—–-]?[ \t]*(?P<number>[0-9]{{6}}))(?!\w)"
-)
+_MARK, _APART = r"[ \t]*[:=—–-]?[ \t]*", "[ \t/-]"
+_GROUPED = rx(rf"(?<![\w./-])(?P<value>{blocks(4, 6, between=_APART)}|{blocks(2, 2, 6, between=_APART)})(?!\w|[./-][0-9]|[ \t]+[0-9])")
+
+
+def _either(series: str, number: str, four: str, sign: str = "") -> re.Pattern[str]:
+    """A labelled series of four digits or a labelled number of six."""
+    return rx(rf"(?:{word(series)}{_MARK}(?P<series>{four})|(?:{word(number)}{sign}){_MARK}(?P<number>{blocks(6)}))(?!\w)")
+
+
+_PART = _either("серия|серии|серией|сер.", "номер|номером|ном.", blocks(2, 2, between="[ \t]?"), "|№")
 _JOIN = rx(r"[ \t,;./—–-]*(?:\r?\n[ \t]*)?(?:и[ \t]+)?")
 
 
@@ -121,9 +127,10 @@ def _paired(text: str) -> Iterator[Span]:
 _LICENSE = word(L.LICENSE)
 _LABEL = rx(rf"(?P<license>{_LICENSE})|(?P<passport>{word('паспорт|паспорта')})")
 _HOLDER = rx(rf"(?:[ \t]+{alt(L.DOCUMENT_HOLDERS)}(?!\w)){{0,2}}[ \t]*(?:[:,=—–-][ \t]*)?(?:№[ \t]*)?")
-_VALUE = rx(r"(?P<value>(?:[0-9]{2}[ \t]*[0-9]{2}|[0-9]{2}[ \t]+[а-яёa-z]{2})[ \t-]+[0-9]{6})(?!\w)")
-_SUFFIXED = rx(rf"(?<!\w)(?P<value>[0-9]{{2}}[ \t]*[0-9]{{2}}[ \t-]+[0-9]{{6}})(?!\w)[ \t]+[—–-][ \t]*{_LICENSE}")
-_FIELD = rx(r"(?<!\w)(?:(?:серия|серии)[ \t]*(?:[:=—–-][ \t]*)?(?P<series>[0-9]{2}[ \t]*[0-9]{2})|(?:номер|номером)[ \t]*(?:[:=—–-][ \t]*)?(?P<number>[0-9]{6}))(?!\w)")
+_SIX = rf"[ \t-]+{blocks(6)}"
+_VALUE = rx(rf"(?P<value>(?:{blocks(2, 2)}|{blocks(2)}[ \t]+[а-яёa-z]{{2}}){_SIX})(?!\w)")
+_SUFFIXED = rx(rf"(?<!\w)(?P<value>{blocks(2, 2)}{_SIX})(?!\w)[ \t]+[—–-][ \t]*{_LICENSE}")
+_FIELD = _either("серия|серии", "номер|номером", blocks(2, 2))
 _STOP = rx(rf"[.!?;\n]|{word(L.DOCUMENT_STOPS)}")
 _NOT_PERSONAL = rx(f"{word(L.NONPERSONAL)}|{word(L.DATE_OTHER.replace('|дата|релиз~|срок~', ''))}")
 

@@ -9,7 +9,7 @@ from typing import NamedTuple
 from textloom.rules import lexicon as L, values as V
 from textloom.rules.documents import number_owner, passport_record
 from textloom.rules.places import issuer_end, public_place
-from textloom.rules.scan import Cues, Span, alt, before, digits, record, rx, trimmed, word
+from textloom.rules.scan import Cues, Span, alt, before, blocks, digits, record, rx, trimmed, word
 
 #: What may stand between a label and its value, and what may enclose the value.
 GAP = r"[ \t]*(?:[:=№#—–-][ \t]*){0,3}"
@@ -51,10 +51,6 @@ def many(low: int, high: int, between: str) -> str:
     return rf"[0-9](?:{between}[0-9]){{{low - 1},{high - 1}}}"
 
 
-def blocks(*sizes: int, between: str = _BLANKS) -> str:
-    return between.join(f"[0-9]{{{n}}}" for n in sizes)
-
-
 # --- checks -------------------------------------------------------------------------------------------------------
 _ORDER = rx(rf"{word(L.ORDER_NUMBERS)}[ \t]*(?:[:=№#—-][ \t]*){{0,2}}$")
 _OWN = rx(rf"{word(L.OWN_NUMBERS)}[^.;,\n\d:]{{0,48}}[ \t]*(?:[:=№#—-][ \t]*){{0,2}}$")
@@ -103,7 +99,7 @@ def _home(text: str, start: int, end: int) -> bool:
     return not public_place(text, start)
 
 
-# --- shapes -------------------------------------------------------------------------------------------------------
+# --- fixed values: the shapes of values -------------------------------------------------------------------------------------------------------
 _ATOM, _LABEL = r"[a-zа-яё0-9.!#$%&'*+/=?^_`{|}~-]", r"[a-zа-яё0-9](?:[a-zа-яё0-9-]{0,61}[a-zа-яё0-9])?"
 _EMAIL = rf"{_ATOM}{{1,64}}@{_LABEL}(?:[.]{_LABEL}){{1,8}}"
 _IP4 = rf"[0-9]{{1,3}}(?:{_SPACED}[.]{_SPACED}[0-9]{{1,3}}){{3}}"

@@ -260,7 +260,7 @@ def issuers(text: str) -> Iterator[Span]:
 
 
 _RELATIVE = rx(rf"(?<!\w)в[ \t]+(?P<value>{alt(L.RELATIVE_YEAR)}[ \t]+году)(?!\w)")
-_ISSUE = rx(r"(?<!\w)паспорта?(?!\w)[^;!?\n]{0,80}(?<!\w)выдан[а-яё]*")
+_ISSUE = rx(rf"{word('паспорт|паспорта')}[^;!?\n]{{0,80}}{word('выдан~')}")
 
 
 def relative_dates(text: str) -> Iterator[Span]:
@@ -271,7 +271,9 @@ def relative_dates(text: str) -> Iterator[Span]:
             yield Span(*m.span("value"), "PASSPORT_DATE", 0.97, "relative-personal-document-date")
 
 
-_BORN_IN = rx(r"(?<!\w)родил(?:ся|ась)[ \t]+(?:[0-9]{1,2}[./-]){2}[0-9]{4}[ \t]+в[ \t]+(?P<value>(?:г[.]|городе?)[ \t]+[а-яё]{2,35}(?:-[а-яё]{2,35}){0,3}(?:[ \t]+[а-яё]{2,35})?)(?=[ \t]*(?:[,;.!?\n]|$))")
+_GAP, _DAY = r"[ \t]+", "[./-]".join(("[0-9]{1,2}", "[0-9]{1,2}", "[0-9]{4}"))
+_TOWN = rf"{alt('г.|город|городе')}{_GAP}{_W}(?:{_GAP}{_W})?"
+_BORN_IN = rx(_GAP.join((word("родился|родилась"), _DAY, "в", rf"(?P<value>{_TOWN})")) + _STOP.pattern.join(("(?=", ")")))
 _BORN = Cues(private=L.PRIVATE_PLACE, public=L.POET)
 
 

@@ -88,5 +88,10 @@ def trimmed(text: str, start: int, end: int, left: str = " \t\r\n", right: str =
     return start, end
 
 
+def blocks(*sizes: int, between: str = "[ \t]*") -> str:
+    """Pattern of groups of so many digits each."""
+    return between.join(f"[0-9]{{{n}}}" for n in sizes)
+
+
 def digits(value: str) -> str:
     return "".join(c for c in value if c in "0123456789")
