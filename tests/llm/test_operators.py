@@ -147,7 +147,7 @@ def _without_word_windows(texts, width):
         yield bytes(c for c, g in zip(t, gone) if not g)
 
 
-@pytest.mark.parametrize("members", [1 << 23, 0])
+@pytest.mark.parametrize("members", [1 << 21, 0])
 def test_passages_of_words_against_brute_force(spark, docs, monkeypatch, members):
     from textloom.llm import hashing
 

@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: A membership filter has 16 to 32 bits a member, so about one stranger in a hundred passes, and is made for at most
-#: so many members: 32 MB at most are broadcast. Callers join where make_filter gives none.
-FILTER_MEMBERS, LEAST_BITS = 1 << 23, 1 << 16
+#: A membership filter has BITS to twice as many bits a member, so about one stranger in a thousand passes, and is made
+#: for at most so many members: 32 MB at most are broadcast. Callers join where make_filter gives none.
+FILTER_MEMBERS, BITS, LEAST_BITS = 1 << 21, 64, 1 << 16
 _M = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)]
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Base of the polynomial hash, an odd number.
@@ -82,7 +82,7 @@ def make_filter(ids: DataFrame) -> np.ndarray | None:
     n = ids.count()
     if n > FILTER_MEMBERS:
         return None
-    size = max(LEAST_BITS, 1 << (16 * n).bit_length())
+    size = max(LEAST_BITS, 1 << (BITS * n).bit_length())
 
     def run(batches):
         for batch in batches:

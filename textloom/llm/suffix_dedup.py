@@ -234,6 +234,7 @@ def unique_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     chosen = _passing(rows, again).groupBy("gram", "whole").agg(F.count("*").alias("c"), F.min(F.struct("id", "key", "lo", "n")).alias("row")).select("c", "row.*")
     chosen, chosen_path = materialize(chosen, "chosen")
     discard(spark, rows_path)
+    drop_shuffles(spark)
     edges = _edge_windows(texts, chosen, again, length, gram, unit).groupBy("first", "second").agg(F.count("*").alias("c"), F.min(F.struct("key", "lo")).alias("row")).where("c = 1")
     # a chosen row that stands for several has no unique windows, though it took part once: negative numbers
     stands = chosen.where("c > 1").select("key", "lo", -F.col("n"))
@@ -278,6 +279,7 @@ def removed_bytes(text: bytes, lo: np.ndarray, n: np.ndarray, length: int, unit:
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, unit: str = "bytes") -> DataFrame:
     """All rows and columns of docs with `removal`: struct of kept (remaining bytes), n_bytes, n_removed, n_spans."""
     spans, _ = unique_ranges(docs, text_col, length, gram, unit)
+    drop_shuffles(docs.sparkSession)
 
     @F.arrow_udf("struct<kept: binary, n_bytes: long, n_removed: long, n_spans: long>")
     def cut(text: pa.Array, ranges: pa.Array) -> pa.Array:
@@ -332,6 +334,7 @@ def digests(docs: DataFrame) -> DataFrame:
     said, _ = unique_ranges(rows, "text", PASSAGE_WORDS, PASSAGE_GRAM, "words")
     drop_shuffles(docs.sparkSession)
     spans, _ = unique_ranges(rows)
+    drop_shuffles(docs.sparkSession)
     fields = "kept: binary, n_bytes: long, n_removed: long, n_spans: long, n_passage_bytes: long"
 
     @F.arrow_udf(f"struct<{fields}>")
