@@ -50,13 +50,19 @@ _SEQUENCES = {
     **{"".join(p): ("three-part-name-permutation", 0.97) for p in permutations("GSP")},
     **{"".join(p): ("personal-name-with-initials", 0.96) for p in ("SI", "SII", "IS", "IIS", "GI", "GII", "PI", "IG", "IP", "GSI", "SGI", "IGS", "ISG", "GIS", "IIGS", "GSII", "SGII", "IISG", "SPI", "GPI", "IGP")},
 }
-_PAIRS = ("GS", "SG")
+_PAIRS, _FULL = ("GS", "SG"), ("GPS", "SGP")
 
 
-def _fits(sequence: str, words: list[frozenset[str]]) -> bool:
+def _fits(sequence: str, words) -> bool:
     return len(sequence) == len(words) and all((k == "*" and "-" not in w and "I" not in w) or k in w for k, w in zip(sequence, words))
 
 
+@lru_cache(maxsize=1 << 14)
+def _named(words: tuple[frozenset[str], ...], sequences: tuple[str, ...]) -> tuple[str, ...]:
+    """Those of the sequences that the words fit."""
+    return tuple(s for s in sequences if _fits(s, words))
+
+
 def is_name(words: list[str], field: bool = False) -> bool:
     """Whether words (initials among them) are a whole name; in a field one word may be."""
     all_kinds = [kinds(w.lower()) for w in words]
@@ -133,8 +139,7 @@ def _whole(text: str, start: int, end: int) -> tuple[int, int]:
             if first[0] > start or len(run) < n or run[-1][1] < end:
                 continue
             blank = all(text[a[1] : b[0]].strip(" \t") == "" and a[1] < b[0] for a, b in zip(run, run[1:]))
-            named = any(_fits(s, [w[2] for w in run]) for s in (("GS", "SG") if n == 2 else ("GPS", "SGP")))
-            if blank and named and run[-1][1] - first[0] > best[1] - best[0]:
+            if blank and run[-1][1] - first[0] > best[1] - best[0] and _named(tuple(w[2] for w in run), _PAIRS if n == 2 else _FULL):
                 best = (first[0], run[-1][1])
     return best
 
@@ -180,7 +185,7 @@ def _initials_ok(run) -> bool:
     return together and not (len(full) == 1 and len(initials) == 1 and run[0] is initials[0] and initials[0][3] in ("г.", "д."))
 
 
-_RUN = {n: [s for s in _SEQUENCES if len(s) == n] for n in (2, 3, 4)}
+_RUN = {n: tuple(s for s in _SEQUENCES if len(s) == n) for n in (2, 3, 4)}
 
 
 def _by_sequence(text: str) -> Iterator[Span]:
@@ -192,11 +197,11 @@ def _by_sequence(text: str) -> Iterator[Span]:
                 run = chain[i : i + n]
                 if len(run) < n:
                     break
-                words = [c[2] for c in run]
+                words = tuple(c[2] for c in run)
                 if any("-" in w for w in words):
                     break
-                for s in _RUN[n]:
-                    if not _fits(s, words) or not _initials_ok(run) or (s == "SP" and "P" in words[0]):
+                for s in _named(words, _RUN[n]):
+                    if not _initials_ok(run) or (s == "SP" and "P" in words[0]):
                         continue
                     reason, confidence = _SEQUENCES[s]
                     guarded = reason in ("patronymic-name",) or not on_street(text, run[0][0])
@@ -211,8 +216,7 @@ def _adjacent(text: str) -> Iterator[Span]:
     last = None
     for m in _CYRILLIC.finditer(text):
         if last is not None and 0 < m.start() - last.end() <= 3 and text[last.end() : m.start()].isspace():
-            pair = [kinds(last[0].lower()), kinds(m[0].lower())]
-            if any(_fits(s, pair) for s in _PAIRS) and not public_name(text, last.start(), m.end()):
+            if _named((kinds(last[0].lower()), kinds(m[0].lower())), _PAIRS) and not public_name(text, last.start(), m.end()):
                 yield Span(last.start(), m.end(), "PERSON", 0.92, "given-name-and-surname")
         last = m
 
@@ -275,11 +279,11 @@ def _by_field(text: str) -> Iterator[Span]:
 
 
 _RECORD = rx(rf"(?<!\w){alt(L.NAME_RECORDS)}(?![^\W\d_])[ \t]*(?:[:=—–-][ \t]*)?(?P<value>[а-яё][а-яё'-]{{1,39}}(?:[ \t]+[а-яё][а-яё'-]{{1,39}}){{1,2}})")
-_FULL = rx(rf"(?<!\w){alt(L.NAME_FULL)}[ \t]*[:=][ \t]*(?P<value>{_WORD}(?:[ \t]+{_WORD}){{1,3}})(?=[ \t]*(?:[,;\n.!?]|$))")
+_FULL_FIELD = rx(rf"(?<!\w){alt(L.NAME_FULL)}[ \t]*[:=][ \t]*(?P<value>{_WORD}(?:[ \t]+{_WORD}){{1,3}})(?=[ \t]*(?:[,;\n.!?]|$))")
 
 
 def _by_record(text: str) -> Iterator[Span]:
-    for m in _FULL.finditer(text):
+    for m in _FULL_FIELD.finditer(text):
         yield Span(*m.span("value"), "PERSON", 0.98, "explicit-unicode-name-field")
     for m in _RECORD.finditer(text):
         parts = list(_NEAR.finditer(text, *m.span("value")))

@@ -12,9 +12,13 @@ _LETTERS = r"[^\W\d_]"
 _PLACES = Cues(public="|".join(f"{p} {o}" for p in L.OFFICE_PLACE.split("|") for o in L.OFFICE_OWNER.split("|")) + "|адрес~ банка|расположен банка|расположена банка|расположено банка", private=L.HOME_PLACE)
 
 
+_BANK = rx("|".join(sorted({o[:4] for o in L.OFFICE_OWNER.split("|")})))
+
+
 def public_place(text: str, start: int) -> bool:
     """The last cue of a place before start is that of a bank's office."""
-    return _PLACES.kind(before(text, start, 150)) == "public"
+    prior = before(text, start, 150)
+    return _BANK.search(prior) is not None and _PLACES.kind(prior) == "public"
 
 
 # --- parts of an address; each reader gives the ends it can reach from a place ----------------------------------------
