@@ -109,7 +109,8 @@ def _latin(text: str, lower: str) -> Iterator[Span]:
     last = None
     for m in _LATIN_WORD.finditer(text):
         if last is not None and text[last.end() : m.start()].isspace() and "\n" not in text[last.end() : m.start()] and latin_pair(last[0], m[0]):
-            if text[max(0, last.start() - 1) : last.start()] != "@" != text[m.end() : m.end() + 1] and not on_street(text, last.start()):
+            mailbox = "@" in (text[max(0, last.start() - 1) : last.start()], text[m.end() : m.end() + 1])
+            if not mailbox and not on_street(text, last.start()) and not public_name(text, last.start(), m.end()):
                 yield Span(last.start(), m.end(), "PERSON", 0.94, "transliterated-person-name")
         last = m
 
