@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textloom.functions import spans as S
 from textloom.operators import evaluate as E, model_spans as M, protocol as P, reports as R
@@ -38,12 +38,15 @@ def _docs(spark, sf_dir):
 
 #: Types of the tables' own texts, which SQL finds too.
 _FORMATS = ("EMAIL", "IP_ADDRESS", "CARD", "PHONE")
-_VALUE = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+
+
+def _value() -> Column:
+    return F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
 
 
 def _values(spark, sf_dir, *types: str) -> DataFrame:
     found = detect(_docs(spark, sf_dir)).select("doc_id", "text", F.explode("spans").alias("s")).where(F.col("s.type").isin(*types))
-    return found.select("doc_id", F.col("s.type").alias("type"), F.col("s.start").alias("start"), _VALUE.alias("value"))
+    return found.select("doc_id", F.col("s.type").alias("type"), F.col("s.start").alias("start"), _value().alias("value"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +126,7 @@ def _cases(family: str):
     def run(spark, sf_dir):
         rows = spark.createDataFrame(cases.rows(family), "case_id long, rule string, text string")
         found = detect(rows).select("case_id", "rule", "text", F.explode_outer("spans").alias("s"))
-        return found.select("case_id", "rule", "s.type", "s.start", "s.end", _VALUE.alias("value"))
+        return found.select("case_id", "rule", "s.type", "s.start", "s.end", _value().alias("value"))
 
     return run
 
@@ -138,7 +141,7 @@ def merge_cases(spark, sf_dir):
     rows = spark.createDataFrame(cases.merge_rows(), f"case_id long, rule string, text string, base {SPANS}, model {SPANS}")
     done = rows.withColumn("m", merged(F.col("text"), F.col("base"), F.col("model")))
     found = done.select("case_id", "rule", "text", F.col("m.error").alias("error"), F.explode_outer("m.spans").alias("s"))
-    return found.select("case_id", "rule", "s.type", "s.reason", _VALUE.alias("value"), "error")
+    return found.select("case_id", "rule", "s.type", "s.reason", _value().alias("value"), "error")
 
 
 @_query("""SELECT * FROM (VALUES (0::BIGINT, 'CASE_ID', 5, 9), (0, 'CASE_ID', 12, 16), (2, NULL, NULL, NULL)) t(case_id, type, start, "end")""")
