@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from textloom.llm.common import materialize, scratch
+from textloom.llm.common import materialize, scratch, without_leftovers
 
 BOOKS, WORDS, BEAM = 12, 256, 8
 SAMPLE, ROUNDS, REFITS = 8192, 8, 1
@@ -217,7 +217,8 @@ def search(index: DataFrame, books: Codebooks | None, queries: DataFrame, k: int
                 yield from flush()
 
         # one query's rows are k from each partition
-        index.mapInArrow(run, schema).write.mode("append").parquet(path)
+        with without_leftovers(spark):
+            index.mapInArrow(run, schema).write.mode("append").parquet(path)
         shared.unpersist()
     near = spark.read.schema(schema).parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +16,7 @@ from textloom.sources.tables import spread
 
 #: Bytes of text that a kernel works on at once.
 BLOCK_BYTES = 1 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of an Arrow batch between Spark and Python.
 BATCH_ROWS = 500
 
@@ -42,12 +43,24 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+@contextmanager
+def without_leftovers(spark: SparkSession) -> Iterator[None]:
+    """Writes inside delete their shuffle files as they end; otherwise those stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it again: lineage ends there, any executor can be lost."""
     spark = df.sparkSession
     small_batches(spark)
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with without_leftovers(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -59,12 +72,6 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects its garbage, which may otherwise be much later."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def trim() -> None:
     """Give freed memory back to the system, so that a worker that lives through many stages keeps only what it uses."""
     pa.default_memory_pool().release_unused()

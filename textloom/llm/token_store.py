@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from textloom.llm import bpe_kernel
-from textloom.llm.common import id_and_text, map_text_blocks, scratch
+from textloom.llm.common import id_and_text, map_text_blocks, scratch, without_leftovers
 
 END_ID = 2
 #: Bytes of text whose ids go into one file, about, where the shuffle partitions would hold more.
@@ -47,15 +47,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_
     rows = id_and_text(docs, id_col, text_col)
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    (
-        map_text_blocks(ordered, kernel, SCHEMA)
-        .write.option("orc.bloom.filter.columns", "doc_id")
-        .option("orc.bloom.filter.fpp", "0.01")
-        .option("orc.row.index.stride", "1000")
-        .option("orc.stripe.size", str(16 << 20))
-        .option("compression", "lz4")
-        .orc(path)
-    )
+    stored = map_text_blocks(ordered, kernel, SCHEMA).write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "1000")
+    with without_leftovers(spark):
+        stored.option("orc.stripe.size", str(16 << 20)).option("compression", "lz4").orc(path)
     return path
 
 
