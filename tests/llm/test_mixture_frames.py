@@ -37,3 +37,13 @@ def test_rate_beyond_a_million(spark):
     want = mixture.rate_for(np.array([1000.0, 1000.0, 10.0]), np.array([1e-9, 2e-8, 1.0]), 0.6)
     assert want > 1e6 and abs(mixture._rate_frames(rows, 2010.0, 0.6) / want - 1) < 1e-12
     assert mixture._rate_frames(rows, 2010.0, 1.0) == 1e18
+
+
+def test_joins_equal_the_driver(spark):
+    rnd = random.Random(3)
+    rows = [(s, lang, t, rnd.randint(50_000, 60_000)) for s in "pqr" for lang in "ab" for t in "xy"] + [("none", "a", "empty", 0)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").coalesce(1)
+    key = lambda r: (r["source"], r["lang"], r["topic"])
+    for targets in (None, {"source": {"p": 0.5, "q": 0.5}, "lang": {"a": 0.7, "b": 0.3}, "topic": {"x": 0.4, "y": 0.6}}):
+        a, b = ({key(r): (r["factor"], r["probability"]) for r in mixture.probabilities(cells, targets, **how)[0].collect()} for how in ({}, {"max_cells": 0, "max_categories": 0}))
+        assert a.keys() == b.keys() and np.allclose([a[k] for k in a], [b[k] for k in a], rtol=1e-7, atol=1e-12)

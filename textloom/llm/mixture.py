@@ -9,8 +9,10 @@ hash of id and text, so a rerun or a lost executor draws the same rows.
 
 Targets default to the observed shares raised to a power below 1, which takes
 weight from a dominating source. Only the table of cells is used for fitting;
-up to MAX_CELLS cells it is fitted in the driver, beyond that as DataFrames, to
-the same tolerance, rounds and rate.
+up to MAX_CELLS cells it is fitted in the driver, beyond that as DataFrames
+with one factor for each category in the driver, and where a margin has over
+MAX_CATEGORIES of them as DataFrames alone; always to the same tolerance,
+rounds and rate.
 
 A null source or language is a category of its own; null and empty texts have
 0 tokens and the topic "empty", cells without tokens have the factor 1. Equal
@@ -31,7 +33,7 @@ MARGINS = ("source", "lang", "topic")
 POWERS = {"source": 0.5, "lang": 0.8, "topic": 0.9}
 SHARE, SEED = 0.6, 17
 BYTES_PER_TOKEN = 4
-MAX_CELLS, ROUNDS, TOLERANCE = 100_000, 200, 1e-9
+MAX_CELLS, MAX_CATEGORIES, ROUNDS, TOLERANCE = 100_000, 1_000_000, 200, 1e-9
 #: Rates tried in one pass over a table of cells too large for the driver.
 RATES = 64
 NULL = "\x00null"
@@ -151,6 +153,44 @@ def _rake_frames(cells: DataFrame, targets: dict[str, dict], names: dict[str, li
     return raked
 
 
+def _target_frames(cells: DataFrame, targets: dict[str, dict] | None) -> dict[str, DataFrame]:
+    """category, target tokens of each margin, as default_targets() and _scaled() have them."""
+    spark, out = cells.sparkSession, {}
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    for m in MARGINS:
+        observed = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("n")).where("n > 0")
+        if targets is None:
+            wanted = observed.select(m, F.pow("n", F.lit(POWERS[m])).alias("want"))
+        else:
+            given = spark.createDataFrame([(k, float(v)) for k, v in targets[m].items()] or [("", 0.0)], f"{m} string, want double")
+            wanted = observed.join(given, m, "left").select(m, F.greatest(F.lit(0.0), F.coalesce("want", F.lit(0.0))).alias("want"))
+        mass = float(wanted.agg(F.sum("want")).first()[0] or 0)
+        frame = wanted.select(m, (F.col("want") / mass * total).alias("want")) if mass else observed.select(m, F.col("n").alias("want"))
+        out[m] = materialize(frame, "targets")[0]
+    return out
+
+
+def _rake_joins(cells: DataFrame, targets: dict[str, dict] | None) -> DataFrame:
+    """The same where a margin's categories are too many for the driver: factors are joined, nothing but a round's worst ratio leaves the executors."""
+    spark, want = cells.sparkSession, _target_frames(cells, targets)
+    now, path = materialize(cells.select(*MARGINS, "tokens", F.col("tokens").cast("double").alias("w")), "raked")
+    for _ in range(ROUNDS):
+        worst = 0.0
+        for m in MARGINS:
+            have = now.groupBy(m).agg(F.sum("w").alias("have"))
+            ratio, ratio_path = materialize(have.join(want[m], m, "left").select(m, F.when(F.col("have") > 0, F.coalesce("want", F.lit(0.0)) / F.col("have")).otherwise(1.0).alias("ratio")), "ratios")
+            worst = max(worst, float(ratio.agg(F.max(F.abs(F.col("ratio") - 1))).first()[0] or 0))
+            after, new = materialize(now.join(ratio, m).select(*MARGINS, "tokens", (F.col("w") * F.col("ratio")).alias("w")), "raked")
+            discard(spark, path, ratio_path)
+            now, path = after, new
+        if worst < TOLERANCE:
+            break
+    factor = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0)
+    raked, _ = materialize(now.select(*MARGINS, "tokens", factor.alias("factor")), "raked")
+    discard(spark, path)
+    return raked
+
+
 def rate_for(tokens: np.ndarray, factor: np.ndarray, share: float) -> float:
     """The rate at which sampling with min(1, rate * factor) expects `share` of all tokens (or all that can be had)."""
     want = share * tokens.sum()
@@ -209,11 +249,15 @@ def _rate_frames(raked: DataFrame, total: float, share: float) -> float:
     return high
 
 
-def probabilities(cells: DataFrame, targets: dict[str, dict] | None = None, share: float = SHARE, max_cells: int = MAX_CELLS) -> tuple[DataFrame, bool]:
+def probabilities(cells: DataFrame, targets: dict[str, dict] | None = None, share: float = SHARE, max_cells: int = MAX_CELLS, max_categories: int = MAX_CATEGORIES) -> tuple[DataFrame, bool]:
     """(source, lang, topic, factor, probability of every cell; whether the table is within max_cells)."""
     spark = cells.sparkSession
     cells, _ = materialize(cells.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
     few = cells.count() <= max_cells
+    if not few and max(cells.select(m).distinct().count() for m in MARGINS) > max_categories:
+        raked, total = _rake_joins(cells, targets), float(cells.agg(F.sum("tokens")).first()[0] or 0)
+        rate = _rate_frames(raked, total, share) if total > 0 else 1.0
+        return raked.select(*MARGINS, "factor", F.least(F.lit(1.0), rate * F.col("factor")).alias("probability")), few
     observed = {m: {r[m]: float(r["n"]) for r in cells.groupBy(m).agg(F.sum("tokens").alias("n")).collect()} for m in MARGINS}
     want = _scaled(targets or default_targets(observed), observed)
     schema = "source string, lang string, topic string, factor double, probability double"
