@@ -162,22 +162,41 @@ def visiting_order(cases: DataFrame, key: str, weight: str, cycles: int, seed: i
     return visits.select(key, "visit", at.alias("at")).where(F.col("at") < cycles)
 
 
-def numbered(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
-    """Rows with their place (from 1) in a total order: sorted in ranges, each range numbered by itself and moved by the size of those before it."""
-    cut = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    sizes = cut.groupBy("_part").agg(F.count("*").alias("n"), F.min("_id").alias("_first"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", "_first", before.alias("_before"))
-    return cut.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("long")).drop("_part", "_id", "_first", "_before")
+#: Rows of a range that one task numbers, about.
+RANGE_ROWS = 1_000_000
+
+
+def _in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with `_part`, the range of a total order they fall into. Bounds come from one small sample and are literals from then on, so every use of the plan, and every retry, cuts alike."""
+    n = rows.count()
+    parts = -(-n // RANGE_ROWS)
+    if parts < 2:
+        return rows.withColumn("_part", F.lit(0))
+    some = rows.select(*order).sample(min(1.0, 64 * parts / n), 11).orderBy(*order).limit(256 * parts).collect()
+    bounds = [some[len(some) * k // parts] for k in range(1, parts)] if some else []
+    key = F.struct(*order)
+    literal = lambda r: F.struct(*[F.lit(r[c]).cast(rows.schema[c].dataType).alias(c) for c in order])
+    at = F.size(F.filter(F.array(*map(literal, bounds)), lambda b: b <= key)) if bounds else F.lit(0)
+    return rows.withColumn("_part", at)
+
+
+def _moved(cut: DataFrame, order: list[str], own: Column, total: Column, name: str) -> DataFrame:
+    """A running number within each range plus the total of the ranges before it: a few rows are sent to all tasks."""
+    before = F.coalesce(F.sum("s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = cut.groupBy("_part").agg(total.alias("s")).select("_part", before.alias("_before"))
+    return cut.withColumn("_own", own).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+
 
+def numbered(rows: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """Rows with their place (from 1) in a total order of columns without nulls: each range is numbered by itself and moved by the size of those before it."""
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)).cast("long")
+    return _moved(_in_ranges(rows, order), order, place, F.count("*"), name)
 
-def running_total(rows: DataFrame, order: list, value: str, name: str = "total") -> DataFrame:
+
+def running_total(rows: DataFrame, order: list[str], value: str, name: str = "total") -> DataFrame:
     """Rows with the sum of `value` up to and with each in a total order; ranges are summed by themselves and moved, as in numbered()."""
-    cut = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    before = F.coalesce(F.sum("s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = cut.groupBy("_part").agg(F.sum(value).alias("s")).select("_part", before.alias("_before"))
     own = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return cut.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + own).drop("_part", "_before")
+    return _moved(_in_ranges(rows, order), order, own, F.sum(value), name)
 
 
 def capture_within(rows: DataFrame, order: list, size: str, most: int) -> DataFrame:
