@@ -29,6 +29,8 @@ Empty tables give empty results.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -301,11 +303,11 @@ def _cut(text: pa.Array, ranges: pa.Array, length: int, unit: str) -> pa.StructA
 
 
 def _with_spans(docs: DataFrame, text_col: str, *spans: DataFrame) -> DataFrame:
-    """row (all columns of docs), text as bytes, and spans0, spans1 ... of the text; texts are shuffled once."""
+    """row (all columns of docs), text as bytes, and spans0, spans1 ... of the text; texts are joined once, so that a hot text's join can be split."""
     named = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.xxhash64(text_col).alias("key"))
-    for i, each in enumerate(spans):
-        named = named.join(each.select(F.col("key").alias(f"key{i}"), F.col("spans").alias(f"spans{i}")), F.col("key") == F.col(f"key{i}"), "left").drop(f"key{i}")
-    return named
+    each = [s.select(F.col("key").alias("at"), F.col("spans").alias(f"spans{i}")) for i, s in enumerate(spans)]
+    both = reduce(lambda a, b: a.join(b, "at", "full_outer"), each)
+    return named.join(both, F.col("key") == F.col("at"), "left")
 
 
 def without_repeats(docs: DataFrame, **how) -> DataFrame:
