@@ -121,7 +121,7 @@ def span_array(rows: list[list[Span] | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([*offsets, at], pa.int32()), values)
 
 
-def _batches(df: DataFrame) -> None:
+def limit_batches(df: DataFrame) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(name, "10000")) <= BATCH_ROWS:
         df.sparkSession.conf.set(name, BATCH_ROWS)
@@ -155,14 +155,14 @@ def detected(text: Column, rules: Column | None = None, only: tuple[str, ...] =
 
 def detect(docs: DataFrame, text_col: str = "text", only: tuple[str, ...] = GROUPS, rules_col: str | None = None) -> DataFrame:
     """docs with `spans` (resolved, in text order) and `detect_error`. No shuffle; texts keep their partitions."""
-    _batches(docs)
+    limit_batches(docs)
     found = docs.withColumn("_found", detected(F.col(text_col), F.col(rules_col) if rules_col else None, only))
     return found.select(*docs.columns, F.col("_found.spans").alias("spans"), F.col("_found.error").alias("detect_error"))
 
 
 def tenant_spans(docs: DataFrame, policies: DataFrame) -> DataFrame:
     """docs (with system and text) and `custom`: spans of the rules of each document's system; null where the rules must not be used."""
-    _batches(docs)
+    limit_batches(docs)
     joined = docs.join(policies.select("system", "extra_rules"), "system", "left")
 
     @F.arrow_udf(SPANS)
