@@ -50,6 +50,16 @@ def test_detect_spans(spark, odd):
     assert {(3, "PHONE", "+1 (269) 555-3296 452"), (3, "CARD", "4524132264652876"), (5, "IP_ADDRESS", "42.73.240.87")} <= set(got)
 
 
+def test_mask_documents(spark, odd):
+    got, want = rows("mask_documents", spark, odd)
+    assert got == want and {(3, "or +* (***) ***-**** ***4132264652876 and", 2), (6, TEXTS[6], 0)} <= set(got)
+
+
+def test_protected_documents_masks_all_that_the_detector_finds(spark, odd):
+    got = {r["doc_id"]: r for r in registry.flagship(spark, odd).collect()}
+    assert got[3]["masked"] == "or +* (***) ***-**** **************** and" and got[6]["masked"] == "a **** ****** b" and len(got) == len(TEXTS)
+
+
 def test_each_format_equals_sql_on_random_texts(tmp_path):
     rnd = random.Random(3)
     parts = ["+1", "+49", "4111111111111111", "4524132264652876", "1.2.3.4", "255", "0", "7", ".", ".", "@", "a", "K", "\u212a", "ſ", "é", "ж", "_", "-", " ", "\t", "\n", "(", ")", "x@y.z", "999"]

@@ -49,6 +49,15 @@ def shape_mask(value: Column) -> Column:
     return F.regexp_replace(value, r"[\p{L}\p{N}]", "*")
 
 
+def mask_values(text: Column, values: Column) -> Column:
+    """Every occurrence of the values masked by shape, longer values first: where a longer one was masked, a shorter one that overlaps it is not found any more.
+
+    replace_spans masks places; this masks values, as SQL's replace does.
+    """
+    longest = F.array_sort(F.transform(F.array_distinct(values), lambda v, i: F.struct((-F.length(v)).alias("n"), i.alias("i"), v.alias("v"))))
+    return F.aggregate(longest, text, lambda t, x: F.replace(t, x["v"], shape_mask(x["v"])))
+
+
 def synthetic(kind: Column, value: Column, ordinal: Column) -> Column:
     """An evidently invalid value of the same kind; the ordinal tells persons, mailboxes and addresses apart."""
     #: Templates by type.
