@@ -76,7 +76,7 @@ def test_policy_select(spark, odd):
     assert got == want and {(4, 0, "PHONE"), (9, 0, "CARD,PHONE")} <= set(got)
 
 
-@pytest.mark.parametrize("mode", ["mask", "synthetic"])
+@pytest.mark.parametrize("mode", ["mask", "synthetic", "token"])
 def test_round_trips(spark, odd, mode):
     got, want = rows(f"round_trip_{mode}", spark, odd)
     known = {i: n for i, _, n, _ in got}
